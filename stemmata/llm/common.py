@@ -123,8 +123,10 @@ def batches(frames: Iterator[pa.RecordBatch], limit: int = 4_000_000, column: st
             yield batch.slice(a, b - a)
 
 
-def total_chars(docs: DataFrame) -> int:
-    return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """Characters and rows."""
+    chars, rows = docs.agg(F.sum(F.length("text")), F.count("*")).first()
+    return int(chars or 0), rows
 
 
 def partition_offsets(rows: DataFrame, part: str, amount: str) -> tuple[dict[int, int], int]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import BASES, batches, grams, hash_words, mix, total_chars, with_text_key, words_of
+from .common import BASES, batches, grams, hash_words, mix, sizes, with_text_key, words_of
 
 WINDOW = 50
 GRAM = 20
@@ -176,7 +176,7 @@ def _result(window: int):
 def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row."""
     docs = with_text_key(documents)
-    chars = total_chars(docs)
+    chars, _ = sizes(docs)
     counts = sketch.build(docs, _keys(window, gram), chars // 6 * 2 // (window - gram + 2), heavy)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     buckets = max(8, chars // 4_000_000)
