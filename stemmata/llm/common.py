@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def pieces(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def batches(frames: Iterator[pa.RecordBatch], limit: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to about `limit` bytes of text, for bounded memory."""
     for batch in frames:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for a, b in pieces(sizes, limit):
             yield batch.slice(a, b - a)
 

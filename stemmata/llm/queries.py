@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary; executors have the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated_windows
 
@@ -21,9 +31,32 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_tokens, write_tokens
+
+    files = write_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("copies", F.lit(1))["position"].alias("position"))
+    return mixed.orderBy("position", "doc_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False).drop("ids")
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_token_files": op4_token_files,
+    "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}

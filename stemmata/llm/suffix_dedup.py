@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ SPLIT_SAMPLE = 2000
 def _laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a batch end to end, and the start of each text in them with the end at last."""
     column = batch.column("text")
-    column = pa.compute.fill_null(column, "")
-    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    column = pc.fill_null(column, "")
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     data = b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column)
     return np.frombuffer(data, np.uint8), np.append(0, np.cumsum(lengths))
 
