@@ -38,6 +38,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -51,12 +57,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False).drop("ids")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    found, _ = scan(documents(spark, sf_dir))
+    base = F.filter("findings", lambda x: x["kind"].isin("assign", "access", "hex"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), "blob")
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
+    "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
+    "op8_secret_scans": op8_secret_scans,
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
