@@ -1,11 +1,12 @@
 """Quality rules: counted statistics, base rules, and an isolation forest on the statistics.
 
-Each whole text gives the four counted rules and FEATURES, ratios that don't depend on length. TREES trees are grown on
+Each whole text gives the four counted rules and FEATURES, shares that hardly depend on length (an echo is a
+word equal to the one before it). TREES trees are grown on
 SUBSAMPLE rows each, drawn from the TREES * SUBSAMPLE documents of least id hash (this bound is the forest's only
 sample). A document's score is 2 ** (-mean path length / expected length): near 1 where few random splits isolate it.
 All documents are scored. The threshold comes from all labelled rows that pass the base rules, as counts by score in
-BINS bins: the lowest score at which at most ALLOWED of the rows labelled good would go. Without labels nothing goes
-by the forest.
+BINS bins: among the scores at which at most ALLOWED of the rows labelled good would go, the one that parts them best
+from those labelled bad. Without labels nothing goes by the forest.
 
 Defined results: a null text has no words and fails the base rules; a document labelled twice takes its lower label;
 labels of unknown documents count for nothing; repeated rows are each returned; an empty table gives no row.
@@ -25,12 +26,13 @@ from .common import BASES, batches, grams, hash_words, mix, with_text_key, words
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "digits", "marks", "distinct")
+FEATURES = ("symbols", "marks", "echoes", "capitals", "dup_lines")
 REPEAT = 8
-TREES, SUBSAMPLE, BINS, ALLOWED, SEED = 100, 256, 2000, 0.002, 7
+TREES, SUBSAMPLE, BINS, ALLOWED, SEED = 100, 256, 2000, 0.01, 7
 STATS = "doc_id long, dk long, tk long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"f_{f} double" for f in FEATURES)
 
-_DIGIT, _LETTER = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_DIGIT, _LETTER, _CAPITAL = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, np.int64)
+_CAPITAL[65:91] = 1
 _DIGIT[48:58] = 1
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 
@@ -44,7 +46,8 @@ def _stats(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
         salt = mix(own + np.uint64(1))
         ends = np.repeat(np.cumsum(n), n)
-        distinct = np.bincount(own[~pd.Series(h ^ salt).duplicated().to_numpy()].astype(np.int64), minlength=len(n))
+        echo = np.flatnonzero((h[1:] == h[:-1]) & (own[1:] == own[:-1])) + 1
+        echoes = np.bincount(own[echo].astype(np.int64), minlength=len(n))
         g = grams(h, REPEAT, BASES[0])
         repeats = np.zeros(len(n), np.int64)
         if len(g):
@@ -65,9 +68,10 @@ def _stats(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(n)), sizes)
         digits = np.bincount(owner, _DIGIT[data], len(n))
         letters = np.bincount(owner, _LETTER[data], len(n))
+        capitals = np.bincount(owner, _CAPITAL[data], len(n))
         spaces = np.array([len(t) for t in texts]) - chars
-        some, size = np.maximum(n, 1), np.maximum(sizes, 1)
-        features = [chars / some, symbols / some, dup / np.maximum(lines_of, 1), repeats / some, digits / size, (sizes - letters - digits - spaces) / size, distinct / some]
+        # Added to the denominators: a lone repeated line or mark in a short text is nothing odd.
+        features = [symbols / (n + 10), (sizes - letters - digits - spaces) / (sizes + 50), echoes / (n + 10), capitals / (sizes + 50), np.maximum(dup - 1, 0) / (lines_of + 5)]
         counts = [n, chars, symbols, dup, repeats]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dk"), batch.column("tk"), *(pa.array(c.astype(np.int64)) for c in counts), *(pa.array(f.astype(np.float64)) for f in features)], names=[f.split()[0] for f in STATS.split(", ")])
 
@@ -140,18 +144,23 @@ def judge(documents: DataFrame, labels: DataFrame, allowed: float = ALLOWED, tre
     columns = ", ".join([*(f"{c} {t}" for c, t in stats.dtypes if c not in features), "score double"])
     scores = stats.mapInArrow(scored, columns)
     good = labels.select(F.col("doc_id").cast("long").alias("l_doc"), F.col("quality").cast("int").alias("quality")).filter("l_doc IS NOT NULL AND quality IS NOT NULL").groupBy("l_doc").agg(F.min("quality").alias("quality"))
-    bins = scores.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("l_doc")).groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count_if(F.col("quality") >= 1).alias("good")).collect()
-    threshold = _threshold({int(b): int(n) for b, n in bins}, allowed)
+    bins = scores.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("l_doc")).groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count_if(F.col("quality") >= 1), F.count_if(F.col("quality") < 1)).collect()
+    threshold = _threshold({int(b): (good, bad) for b, good, bad in bins}, allowed)
     return scores.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold)).drop("dk", "tk")
 
 
-def _threshold(bins: dict[int, int], allowed: float) -> float:
-    """The lowest bin from which on at most a share `allowed` of the good rows lie; over 1 without good rows."""
-    left = int(sum(bins.values()) * allowed)
-    if not sum(bins.values()):
+def _threshold(bins: dict[int, tuple[int, int]], allowed: float) -> float:
+    """Of the scores from which on at most a share `allowed` of the good rows lie, the one that parts bad rows from good
+    best (Youden's index; the highest such). Over 1 without good rows."""
+    all_good, all_bad = (sum(x[i] for x in bins.values()) for i in (0, 1))
+    if not all_good:
         return 1.1
-    at = BINS
-    while at > 0 and left - bins.get(at, 0) >= 0:
-        left -= bins.get(at, 0)
-        at -= 1
-    return (at + 1) / BINS
+    best, at, good, bad = 0.0, BINS + 1, 0, 0
+    for b in range(BINS, -1, -1):
+        g, n = bins.get(b, (0, 0))
+        good, bad = good + g, bad + n
+        if good > allowed * all_good:
+            break
+        if all_bad and (index := bad / all_bad - good / all_good) > best:
+            best, at = index, b
+    return at / BINS if best > 0 else 1.1
