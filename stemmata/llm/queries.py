@@ -73,6 +73,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), "blob")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "is_first", "n_links")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
