@@ -73,6 +73,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), "blob")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_edits
+
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_fingerprints": op9_fingerprints,
     "op10_near_dedup": op10_near_dedup,
 }
 
