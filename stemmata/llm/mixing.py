@@ -97,7 +97,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def first_words(text: Column, words: Column) -> Column:
     """The text up to the end of its word number `words`; whole where it has no more."""
-    return F.when(words >= word_count(text), text).otherwise(F.regexp_extract(text, F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]++){"), words.cast("string"), F.lit("}")), 0))
+    ends = "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])"
+    return F.when(words >= word_count(text), text).otherwise(F.array_join(F.slice(F.split(text, ends), F.lit(1), words.cast("int")), ""))
 
 
 ORACLE = r"""
