@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import LAST, batches, partition_offsets, sizes, with_text_key, written
 from .tokens import encoder
 
-SHARD_IDS = 2_000_000
+SHARD_IDS = 131_072
 #: Characters of text for each range of ids.
 RANGE_CHARS = 16_000_000
 MAGIC = b"EFT1"
