@@ -1,11 +1,303 @@
-"""Queries over the driver's tables, each with DuckDB SQL where SQL can express it."""
+"""Queries over the driver's tables, each with DuckDB SQL where SQL can express it.
+
+The tables hold no control characters, double spaces, ligatures, line-end hyphens or verse, so the queries on
+normalisation disturb the texts first, in the same way in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.similarity import similarity_ratio
+from ..operators import alignment, collation, store, tei, views
+from ..operators import blocks as B
+from ..sources import markdown, pdf_lines
+from . import pairs as P
+from .tables import written
 
 FLAGSHIP = "doc_metrics"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+
+
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block a line. The tables' texts are composed already, so nothing goes to Python."""
+    return B.build_blocks(B.line_candidates(documents(spark, sf_dir)), compose=False)
+
+
+def _collated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs, sides and difference blocks of the tables' near copies."""
+    blocks = line_blocks(spark, sf_dir)
+    pairs = P.sharing_pairs(blocks)
+    rows = written(alignment.sides(pairs, blocks), "sides")
+    return pairs, rows, written(collation.diff_blocks(rows, alignment.align(rows)), "diff-blocks")
+
+
+LINES = """
+lines AS (SELECT doc_id, cand, trim(line, ' ') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS cand FROM documents) WHERE trim(line, ' ') <> ''),
+blocks AS (SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS block_index, text,
+  CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY cand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS char_start
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY cand))"""
+PAIRS = LINES + """,
+dl AS (SELECT DISTINCT doc_id, text FROM blocks),
+rare AS (SELECT text FROM dl GROUP BY text HAVING count(*) BETWEEN 2 AND 10),
+sh AS (SELECT a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, count(*) AS shared FROM dl a JOIN rare USING (text) JOIN dl b ON a.text = b.text AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT 'cmp_' || a_doc_id || '_' || b_doc_id AS cmp_id, a_doc_id, b_doc_id, shared FROM sh QUALIFY row_number() OVER (PARTITION BY b_doc_id ORDER BY shared DESC, a_doc_id) = 1),
+rows AS (SELECT cmp_id, 'a' AS side, block_index, text FROM pairs JOIN blocks ON doc_id = a_doc_id UNION ALL SELECT cmp_id, 'b', block_index, text FROM pairs JOIN blocks ON doc_id = b_doc_id),
+anchors AS (SELECT cmp_id, max(block_index) FILTER (side = 'a') AS a_index, max(block_index) FILTER (side = 'b') AS b_index FROM rows GROUP BY cmp_id, text HAVING count(*) FILTER (side = 'a') = 1 AND count(*) FILTER (side = 'b') = 1)"""
+WORDS = "len(regexp_extract_all(text, '\\S+'))"
+
+
+@query(f"WITH {LINES} SELECT doc_id, block_index, format('blk_a_{{:04d}}', block_index) AS block_id, text, char_start, CAST(char_start + length(text) AS INTEGER) AS char_end FROM blocks")
+def blocks_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks(spark, sf_dir).select("doc_id", "block_index", "block_id", "text", "char_start", "char_end")
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(sum({WORDS}) AS BIGINT) AS word_count, count(*) AS block_count, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS char_count FROM blocks GROUP BY doc_id")
+def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.metadata(line_blocks(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(replace(replace(regexp_replace(text, 'e', 'e' || chr(769), 'g'), chr(10), chr(13) || chr(10)), ', ', ',' || chr(9) || '  ' || chr(7)), ' of ', ' of' || chr(12), 'g')), '\r\n?|\f', chr(10), 'g'), '[\x00-\x08\x0b\x0e-\x1f\x7f]', '', 'g'), '[ \t]*\n', chr(10), 'g').regexp_replace('[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS text FROM documents""")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disturbed by decomposed letters, CR LF, tabs, BEL and form feeds, then normalised."""
+    text = F.regexp_replace("text", "e", "é")
+    text = F.regexp_replace(F.replace(F.replace(text, F.lit("\n"), F.lit("\r\n")), F.lit(", "), F.lit(",\t  \u0007")), " of ", " of\f")
+    return documents(spark, sf_dir).select("doc_id", T.normalize_text(text).alias("text"))
+
+
+@query("SELECT doc_id, " + "".join("replace(" for _ in range(4)) + "replace(replace(replace(text, 'fi', 'ﬁ'), 'oe', 'œ'), 'st', 'ﬆ'), 'ﬁ', 'fi'), 'œ', 'oe'), 'ﬆ', 'st'), 'æ', 'ae') AS text FROM documents")
+def ligature_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    for letters, ligature in (("fi", "ﬁ"), ("oe", "œ"), ("st", "ﬆ")):
+        text = F.replace(text, F.lit(letters), F.lit(ligature))
+    return documents(spark, sf_dir).select("doc_id", T.fold_ligatures(text).alias("text"))
+
+
+@query(r"SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS n, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS t FROM documents)")
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("n", "token"))
+
+
+@query("SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS token FROM documents) GROUP BY ALL")
+def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.characters(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT key, count(*) AS n FROM (SELECT regexp_replace(replace(lower(unnest(regexp_extract_all(text, '\S+'))), 'ß', 'ss'), '\p{P}', '', 'g') AS key FROM documents) GROUP BY key")
+def comparison_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case folded in Python over different tokens only."""
+    tokens = documents(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    return tokens.groupBy(T.comparison_key(F.col("token"), ignore_case=True, ignore_punctuation=True).alias("key")).agg(F.sum("c").alias("n"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_replace(text, '((?:\S+\s+){4}\S+)\s', '\1' || chr(10), 'g') AS text FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM w),
+m AS (SELECT doc_id, ls, list_transform(ls, lambda x: length(x)) AS n FROM l), s AS (SELECT *, list_sort(n) AS o, len(n) AS c FROM m),
+d AS (SELECT *, CASE WHEN c = 0 THEN NULL ELSE (o[c // 2 + 1] + o[(c - 1) // 2 + 1]) / 2.0 END AS med FROM s)
+SELECT doc_id, coalesce(c >= 3 AND med > 0 AND med <= 45 AND len(list_filter(n[1:c - 1], lambda x: x < med * 0.55)) = 0 AND list_max(n) - list_min(n) < med * 0.6, false) AS verse FROM d""")
+def verse_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts rewrapped to five words a line first."""
+    text = F.regexp_replace("text", "((?:\\S+\\s+){4}\\S+)\\s", "$1\n")
+    return documents(spark, sf_dir).select("doc_id", T.looks_like_verse(text).alias("verse"))
+
+
+@query()
+def verse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.regexp_replace("text", "((?:\\S+\\s+){4}\\S+)\\s", "$1\n")
+    return B.build_blocks(B.text_candidates(documents(spark, sf_dir).withColumn("text", text)), compose=False).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("starts_stanza").alias("stanzas"))
+
+
+@query()
+def dehyphenated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long words broken over lines, then closed up on the document's evidence and reflowed."""
+    text = F.regexp_replace("text", "([a-z]{4})([a-z]{5})", "$1-\n$2")
+    docs = documents(spark, sf_dir).withColumn("text", text)
+    return B.build_blocks(B.text_candidates(docs), reflow_lines=True).select("doc_id", "block_index", "kind", "text")
+
+
+@query(f"WITH {PAIRS} SELECT cmp_id, a_doc_id, b_doc_id, shared FROM pairs")
+def witness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sharing_pairs(line_blocks(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS} SELECT cmp_id, a_index, b_index FROM anchors")
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir)
+    return alignment.anchors(alignment.sides(P.sharing_pairs(blocks), blocks))
+
+
+@query(f"WITH {PAIRS} SELECT cmp_id, side, block_index FROM rows ANTI JOIN (SELECT cmp_id, 'a' AS side, a_index AS block_index FROM anchors UNION ALL SELECT cmp_id, 'b', b_index FROM anchors) USING (cmp_id, side, block_index)")
+def unmatched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir)
+    rows = alignment.sides(P.sharing_pairs(blocks), blocks)
+    return alignment.gaps(rows, alignment.anchors(rows)).select("cmp_id", "side", "block_index")
+
+
+@query()
+def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir)
+    rows = alignment.sides(P.sharing_pairs(blocks), blocks)
+    return alignment.scored(alignment.gaps(rows, alignment.anchors(rows)))
+
+
+@query()
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.assigned(gap_candidates(spark, sf_dir))
+
+
+@query()
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages against themselves from a third on."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    later = F.expr("substring(text, cast(length(text) / 3 as int) + 1)")
+    return items.select("item_id", similarity_ratio(F.col("text"), later).alias("score"))
+
+
+@query()
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir)
+    return alignment.align(alignment.sides(P.sharing_pairs(blocks), blocks))
+
+
+@query()
+def diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collated(spark, sf_dir)[2]
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS cmp_id, CAST(NULL AS INTEGER) AS seq, CAST(NULL AS VARCHAR) AS rule WHERE false")
+def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _collated(spark, sf_dir)[2]
+    return collation.violations(blocks, collation.document_metrics(blocks))
+
+
+@query()
+def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collation.document_metrics(_collated(spark, sf_dir)[2])
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT cmp_id, sum({WORDS}) FILTER (side = 'a') AS a, sum({WORDS}) FILTER (side = 'b') AS b FROM rows GROUP BY cmp_id) SELECT cmp_id, CAST(a AS BIGINT) AS a_word_count, CAST(b AS BIGINT) AS b_word_count FROM n")
+def word_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of both sides as the difference blocks carry them: none is lost or doubled."""
+    return doc_metrics(spark, sf_dir).select("cmp_id", "a_word_count", "b_word_count")
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT cmp_id, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM rows GROUP BY cmp_id),
+k AS (SELECT cmp_id, count(*) AS n, sum({WORDS}) AS words FROM anchors JOIN rows USING (cmp_id) WHERE side = 'a' AND block_index = a_index GROUP BY cmp_id)
+SELECT cmp_id, n AS unchanged_blocks, CAST(words AS BIGINT) AS unchanged_words FROM t JOIN k USING (cmp_id) WHERE n = na AND n = nb""")
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons that anchors cover wholly, with their unchanged or moved blocks."""
+    blocks = _collated(spark, sf_dir)[2]
+    anchored = (F.col("similarity") == 1.0) & (F.col("insertions") + F.col("deletions") == 0)
+    whole = blocks.groupBy("cmp_id").agg(F.count("*").alias("unchanged_blocks"), F.count_if(anchored & F.col("status").isin("UNCHANGED", "MOVED")).alias("n"), F.sum(collation.words_of(F.col("tokens"))).alias("unchanged_words"))
+    lines = alignment.anchors(_collated(spark, sf_dir)[1]).groupBy("cmp_id").agg(F.count("*").alias("k"))
+    return whole.join(lines, "cmp_id").filter("n = unchanged_blocks AND k = n").select("cmp_id", "unchanged_blocks", "unchanged_words")
+
+
+@query()
+def changed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.changed_blocks(_collated(spark, sf_dir)[2])
+
+
+@query()
+def structural_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.structural_relationships(_collated(spark, sf_dir)[2])
+
+
+@query(f"""WITH {PAIRS} SELECT cmp_id, side, block_index, CASE WHEN length(t) > 110 THEN rtrim(substr(t, 1, 109)) || '…' ELSE t END AS excerpt
+FROM (SELECT cmp_id, side, block_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM rows WHERE block_index < 12)""")
+def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.source_order(_without_groups(_collated(spark, sf_dir)[1])).drop("structural")
+
+
+def _without_groups(rows: DataFrame) -> DataFrame:
+    """Sides as if each block were inserted or deleted: what source_order reads of difference blocks."""
+    token = F.array(F.struct(F.col("text").alias("text"), F.lit("UNCHANGED").alias("status")))
+    a, b = F.col("side") == "a", F.col("side") == "b"
+    return rows.select("cmp_id", F.col("block_index").alias("seq"), F.when(a, F.col("block_index")).alias("a_index"), F.when(b, F.col("block_index")).alias("b_index"), F.lit("UNCHANGED").alias("status"), F.when(a, token).alias("a_tokens"), F.when(b, token).alias("b_tokens"))
+
+
+@query(f"WITH {LINES} SELECT 'doc_' || doc_id AS cmp_id, block_index + 1 AS seq, text FROM blocks WHERE block_index BETWEEN 2 AND 5")
+def block_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir).select(F.format_string("doc_%d", "doc_id").alias("cmp_id"), (F.col("block_index") + 1).alias("seq"), "text")
+    return views.page(blocks, 2, 4)
+
+
+@query()
+def windowed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.windowed(_collated(spark, sf_dir)[2]).groupBy("cmp_id").agg(F.count("*").alias("n"), F.max("truncated").alias("truncated"))
+
+
+@query()
+def tei_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _, blocks = _collated(spark, sf_dir)
+    titles = pairs.select("cmp_id", F.format_string("Document %d", "a_doc_id").alias("a_title"), F.format_string("Document %d", "b_doc_id").alias("b_title"), F.lit("TXT").alias("a_format"), F.lit("TXT").alias("b_format"))
+    return tei.export(blocks, collation.document_metrics(blocks), titles)
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT doc_id, count(*) AS n, sum({WORDS}) AS w FROM blocks GROUP BY doc_id)
+SELECT cmp_id, a_doc_id, b_doc_id, a.n + b.n AS blocks, CAST(a.w + b.w AS BIGINT) AS words, CASE WHEN a.n + b.n > 12000 OR a.w + b.w > 700000 THEN 'REFUSED' WHEN a.n + b.n <= 4000 AND a.w + b.w <= 220000 THEN 'INLINE' ELSE 'BACKGROUND' END AS route
+FROM pairs JOIN m a ON a.doc_id = a_doc_id JOIN m b ON b.doc_id = b_doc_id""")
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir)
+    return store.route(P.sharing_pairs(blocks), B.metadata(blocks))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), d AS (SELECT event_id, ts + INTERVAL 7 DAY AS expires_at FROM events)
+SELECT CAST(CAST(expires_at AS DATE) AS VARCHAR) AS expires_on, count(*) AS n FROM d, n WHERE expires_at > now GROUP BY 1""")
+def ttl_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stored documents, seen at the time of the last one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    stored = store.with_expiry(events.select(F.col("event_id").alias("doc_id"), "ts"), F.col("ts"))
+    return store.live(stored, now).groupBy(F.col("expires_on").cast("string").alias("expires_on")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS n, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+g AS (SELECT doc_id, n, text, n // 8 + 1 AS page, (n % 8) * 12.0 + 100 + CASE WHEN (n % 8) >= 4 THEN 20 ELSE 0 END AS top FROM l),
+s AS (SELECT *, lag(page) OVER w AS pp, lag(top) OVER w AS pt, lag(text) OVER w AS px FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+st AS (SELECT doc_id, round(top - pt, 1) AS step, count(*) AS c, min(n) AS f FROM s WHERE pp = page AND top > pt GROUP BY ALL),
+ldg AS (SELECT doc_id, CASE WHEN max(c) > 1 THEN arg_max(step, (c, -f)) ELSE min(step) END AS ld FROM st GROUP BY doc_id),
+k AS (SELECT s.*, pp IS NULL OR (page = pp AND coalesce(ld, 0) > 0 AND top - pt > ld * 1.6) OR (page <> pp AND regexp_matches(rtrim(px), '[.!?"”’'']$')) AS brk FROM s LEFT JOIN ldg USING (doc_id)),
+b AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM k)
+SELECT doc_id, CAST(min(n) AS INTEGER) AS cand, string_agg(text, chr(10) ORDER BY n) AS text FROM b GROUP BY doc_id, block""")
+def pdf_line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines set eight to a page, with a wider gap in its middle."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    nth = F.col("line_no") % 8
+    lines = lines.withColumn("page", F.floor(F.col("line_no") / 8) + 1).withColumn("top", nth * 12.0 + 100 + F.when(nth >= 4, 20).otherwise(0)).withColumn("page_height", F.lit(792.0))
+    return pdf_lines.candidates(lines).select("doc_id", "cand", "text")
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with headings, quotes, lists and emphasis put in."""
+    text = F.concat(F.lit("# Title\n\n"), F.regexp_replace(F.regexp_replace("text", "\n(\\w+) ", "\n> *$1* "), "\\. ", ".\n- "))
+    return markdown.candidates(documents(spark, sf_dir).withColumn("text", text)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as candidates: the second corpus."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return B.build_blocks(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("cand"), F.lit("PARAGRAPH").alias("kind"), "text", F.lit(None).cast("string").alias("style"), F.lit(None).cast("int").alias("page")), compose=False)
