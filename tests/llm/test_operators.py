@@ -311,6 +311,8 @@ def test_near_duplicates(docs, none):
     for i, (d, _, _) in enumerate(sets):
         least[root(i)] = min(least[root(i)], d)
     got = near_dedup.near_duplicates(docs).collect()
+    rounds = near_dedup.near_duplicates(docs, one_task=0, block=2).collect()
+    assert counted((r.doc_id, r.class_id) for r in rounds) == counted((r.doc_id, r.class_id) for r in got)
     expected = [(None if d == 2**63 - 1 else d, None if least[root(i)] == 2**63 - 1 else least[root(i)]) for i, (d, _, _) in enumerate(sets)]
     assert counted((r.doc_id, r.class_id) for r in got) == counted(expected)
     assert len({(r.dk, r.tk) for r in got if r.is_first}) == len(least)
