@@ -130,8 +130,8 @@ def sizes(docs: DataFrame) -> tuple[int, int]:
     return int(chars or 0), rows
 
 
-def partition_offsets(rows: DataFrame, part: str, amount: str) -> tuple[dict[int, int], int]:
-    """Second pass of a prefix sum: for each partition the sum of all before it, in the order of their numbers.
+def partition_offsets(rows: DataFrame, part: str, amount: str) -> tuple[dict, int]:
+    """Second pass of a prefix sum: for each partition the sum of all before it, in the order of their names.
 
     Only one number a partition comes to the driver, so its size is bounded by the number of partitions."""
     at, total = {}, 0

@@ -1,8 +1,9 @@
 """Packing: concatenate and cut. All documents' ids form one stream, cut into sequences of a fixed length.
 
-Pass 1 encodes each document once, keeps a running total within its partition and writes ids, partition and local
-offset to the shared folder. One total a partition reaches the driver; their prefix sums are the partitions' global
-offsets. Pass 2 cuts each document at multiples of the length: a piece is a boundary record of document, place in the
+Pass 1 encodes each document once, keeps a running total within each split of an input file (or each partition, where the
+input isn't read from files) and writes ids, split and local offset to the shared folder. One total a split reaches the
+driver; their prefix sums, by file name and place in the file, are the splits' global offsets, so the stream follows the
+input's order, such as that of training positions. Pass 2 cuts each document at multiples of the length: a piece is a boundary record of document, place in the
 document, sequence and place in the sequence. No rows are exchanged. Only the last sequence is short: it is padded to
 the length unless its size is a power of two.
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batches, partition_offsets, with_text_key, written
 from .tokens import encoder
@@ -27,24 +29,21 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack(documents: DataFrame, path: str, end_id: int, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """Pieces in stream order: the rows of the input's partitions in turn. ids: little-endian unsigned 32-bit."""
-    docs = with_text_key(documents).select("doc_id", "text")
+    """Pieces of the stream. ids: little-endian unsigned 32-bit."""
+    docs = with_text_key(documents).select("doc_id", "text", F.concat_ws(":", F.input_file_name(), F.lpad(F.input_file_block_start().cast("string"), 20, "0"), F.lpad(F.spark_partition_id().cast("string"), 10, "0")).alias("split"))
 
     def encoded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        enc, end = encoder(path), np.array([end_id], np.uint16)
+        enc, end, totals = encoder(path), np.array([end_id], np.uint16), {}
         for batch in batches(frames):
             ids = [np.append(x, end) for x in enc.ids(batch.column("text").to_pylist())]
-            lengths = np.array([len(x) for x in ids], np.int64)
-            starts = at + np.cumsum(lengths) - lengths
-            at += int(lengths.sum())
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(starts), pa.array(lengths), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "part", "local", "n", "ids"])
+            starts = []
+            for split, x in zip(batch.column("split").to_pylist(), ids, strict=True):
+                starts.append(totals.get(split, 0))
+                totals[split] = starts[-1] + len(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("split"), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "split", "local", "n", "ids"])
 
-    stream = written(docs.mapInArrow(encoded, "doc_id long, part int, local long, n long, ids binary"), "packing")
-    before, total = partition_offsets(stream, "part", "n")
+    stream = written(docs.mapInArrow(encoded, "doc_id long, split string, local long, n long, ids binary"), "packing")
+    before, total = partition_offsets(stream, "split", "n")
     shared = stream.sparkSession.sparkContext.broadcast(before)
     tail = total % length
     last = total // length if tail else -1
@@ -53,9 +52,9 @@ def pack(documents: DataFrame, path: str, end_id: int, length: int = LENGTH, wit
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, 2_000_000, "ids"):
             rows: list[tuple] = []
-            for doc, part, local, blob in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("local").to_pylist(), batch.column("ids"), strict=True):
+            for doc, split, local, blob in zip(batch.column("doc_id").to_pylist(), batch.column("split").to_pylist(), batch.column("local").to_pylist(), batch.column("ids"), strict=True):
                 ids = np.frombuffer(blob.as_buffer(), np.uint16).astype("<u4")
-                begin, n = shared.value[part] + local, len(ids)
+                begin, n = shared.value[split] + local, len(ids)
                 a = 0
                 while a < n:
                     sequence, offset = divmod(begin + a, length)
