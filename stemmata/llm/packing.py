@@ -1,11 +1,11 @@
 """Packing: concatenate and cut. All documents' ids form one stream, cut into sequences of a fixed length.
 
-Pass 1 encodes each document once, keeps a running total within each split of an input file (or each partition, where the
-input isn't read from files) and writes ids, split and local offset to the shared folder. One total a split reaches the
-driver; their prefix sums, by file name and place in the file, are the splits' global offsets, so the stream follows the
-input's order, such as that of training positions. Pass 2 cuts each document at multiples of the length: a piece is a boundary record of document, place in the
-document, sequence and place in the sequence. No rows are exchanged. Only the last sequence is short: it is padded to
-the length unless its size is a power of two.
+Pass 1 encodes each document once, keeps a running total within each split of an input file (or each partition, where
+the input isn't read from files) and writes ids, split and local offset to the shared folder. One total a split reaches
+the driver; their prefix sums, by file name and place in the file, are the splits' global offsets, so the stream follows
+the input's order, such as that of training positions. Pass 2 cuts each document at multiples of the length: a piece is
+a boundary record of document, place in the document, sequence and place in the sequence. No rows are exchanged. Only
+the last sequence is short: it is padded to the length unless its size is a power of two.
 
 Defined results: a null text is empty and has only its end id; repeated rows are each packed; an empty table gives no
 piece; an empty document with the end id has one piece of length 1; null ids are allowed.
