@@ -207,10 +207,10 @@ k AS (SELECT cmp_id, count(*) AS n, sum({WORDS}) AS words FROM anchors JOIN rows
 SELECT cmp_id, n AS unchanged_blocks, CAST(words AS BIGINT) AS unchanged_words FROM t JOIN k USING (cmp_id) WHERE n = na AND n = nb""")
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparisons that anchors cover wholly, with their unchanged or moved blocks."""
-    blocks = _collated(spark, sf_dir)[2]
+    _, rows, blocks = _collated(spark, sf_dir)
     anchored = (F.col("similarity") == 1.0) & (F.col("insertions") + F.col("deletions") == 0)
     whole = blocks.groupBy("cmp_id").agg(F.count("*").alias("unchanged_blocks"), F.count_if(anchored & F.col("status").isin("UNCHANGED", "MOVED")).alias("n"), F.sum(collation.words_of(F.col("tokens"))).alias("unchanged_words"))
-    lines = alignment.anchors(_collated(spark, sf_dir)[1]).groupBy("cmp_id").agg(F.count("*").alias("k"))
+    lines = alignment.anchors(rows).groupBy("cmp_id").agg(F.count("*").alias("k"))
     return whole.join(lines, "cmp_id").filter("n = unchanged_blocks AND k = n").select("cmp_id", "unchanged_blocks", "unchanged_words")
 
 
@@ -227,7 +227,8 @@ def structural_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRS} SELECT cmp_id, side, block_index, CASE WHEN length(t) > 110 THEN rtrim(substr(t, 1, 109)) || '…' ELSE t END AS excerpt
 FROM (SELECT cmp_id, side, block_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM rows WHERE block_index < 12)""")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.source_order(_without_groups(_collated(spark, sf_dir)[1])).drop("structural")
+    blocks = line_blocks(spark, sf_dir)
+    return views.source_order(_without_groups(alignment.sides(P.sharing_pairs(blocks), blocks))).drop("structural")
 
 
 def _without_groups(rows: DataFrame) -> DataFrame:
