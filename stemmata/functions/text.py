@@ -30,8 +30,8 @@ def _casefold(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """NFC. Where text is known to be ASCII or Latin-1 it is NFC already: see normalize_text."""
-    return _nfc(text)
+    """NFC. Text without characters from U+0300 on is composed already and does not go to Python."""
+    return F.coalesce(_nfc(F.when(text.rlike("[^\\x{0}-\\x{2ff}]"), text)), text)
 
 
 def casefold(text: Column) -> Column:

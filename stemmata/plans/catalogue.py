@@ -41,8 +41,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block a line. The tables' texts are composed already, so nothing goes to Python."""
-    return B.build_blocks(B.line_candidates(documents(spark, sf_dir)), compose=False)
+    """A block a line."""
+    return B.build_blocks(B.line_candidates(documents(spark, sf_dir)))
 
 
 def _collated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,7 +125,7 @@ def verse_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def verse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", "((?:\\S+\\s+){4}\\S+)\\s", "$1\n")
-    return B.build_blocks(B.text_candidates(documents(spark, sf_dir).withColumn("text", text)), compose=False).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("starts_stanza").alias("stanzas"))
+    return B.build_blocks(B.text_candidates(documents(spark, sf_dir).withColumn("text", text))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("starts_stanza").alias("stanzas"))
 
 
 @query()
@@ -301,4 +301,4 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as candidates: the second corpus."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return B.build_blocks(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("cand"), F.lit("PARAGRAPH").alias("kind"), "text", F.lit(None).cast("string").alias("style"), F.lit(None).cast("int").alias("page")), compose=False)
+    return B.build_blocks(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("cand"), F.lit("PARAGRAPH").alias("kind"), "text", F.lit(None).cast("string").alias("style"), F.lit(None).cast("int").alias("page")))
