@@ -115,14 +115,17 @@ def collate(pairs: DataFrame, blocks: DataFrame, options: DiffOptions | None = N
     return diff_blocks(rows, alignment.align(rows, options), options)
 
 
-def violations(blocks: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """cmp_id, seq, rule of every broken promise of the result; expected to be empty."""
+def violations(blocks: DataFrame, metrics: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """cmp_id, seq, rule of every broken promise of the result; expected to be empty. With the sides' rows, texts and
+    sums are compared with those; seq is 0 where a rule is about a comparison."""
     text = lambda tokens: F.array_join(F.transform(tokens, lambda t: t["text"]), "")
     has = lambda tokens, status: F.exists(tokens, lambda t: t["status"] == status)
-    squeezed = lambda tokens, gone: F.regexp_replace(text(F.filter(tokens, lambda t: t["status"] != gone)), "(?U)\\s+", "")
+    words = lambda text: F.regexp_extract_all(text, F.lit("(?U)\\S+"), F.lit(0))
+    without = lambda tokens, gone: text(F.filter(tokens, lambda t: t["status"] != gone))
     a, b, tokens = F.col("a_tokens"), F.col("b_tokens"), F.col("tokens")
     rules = {
-        "a_words": squeezed(tokens, INSERT) == F.regexp_replace(text(a), "(?U)\\s+", ""),
+        "a_words": words(without(tokens, INSERT)) == words(text(a)),
+        "b_words": words(without(tokens, DELETE)) == words(text(b)),
         "a_purity": ~has(a, INSERT),
         "b_purity": ~has(b, DELETE),
         "edit_count": F.col("edit_count") == words_of(tokens, INSERT) + words_of(tokens, DELETE),
@@ -136,9 +139,28 @@ def violations(blocks: DataFrame, metrics: DataFrame | None = None) -> DataFrame
     out = blocks.select("cmp_id", "seq", F.explode(broken).alias("rule"))
     groups = blocks.filter("group_id IS NOT NULL").groupBy("cmp_id", "group_id").agg(F.countDistinct("status").alias("n"), F.min("seq").alias("seq")).filter("n > 1")
     out = out.unionByName(groups.select("cmp_id", "seq", F.lit("one_status_a_group").alias("rule")))
+    if rows is not None:
+        side = lambda s: blocks.filter(F.col(f"{s}_index").isNotNull()).select("cmp_id", F.lit(s).alias("side"), F.col(f"{s}_index").alias("block_index"), "seq", "group_id", text(F.col(f"{s}_tokens")).alias("shown"))
+        # Blocks of a group show their parts; a block that stands alone shows its text, and every block stands somewhere.
+        met = rows.select("cmp_id", "side", "block_index", "text").join(side("a").unionByName(side("b")), ["cmp_id", "side", "block_index"], "full")
+        wrong = met.filter("text IS NULL OR shown IS NULL OR (group_id IS NULL AND text <> shown)")
+        out = out.unionByName(wrong.select("cmp_id", F.coalesce("seq", F.lit(0)).alias("seq"), F.concat("side", F.lit("_text")).alias("rule")))
     if metrics is not None:
-        again = document_metrics(blocks)
+        again = document_metrics(blocks) if rows is None else _sums(blocks, rows)
         names = [c for c in again.columns if c != "cmp_id"]
-        wrong = metrics.alias("m").join(again.alias("n"), "cmp_id").filter(F.greatest(*(F.abs(F.col(f"m.{c}") - F.col(f"n.{c}")) for c in names)) > 0.0002)
-        out = out.unionByName(wrong.select("cmp_id", F.lit(0).alias("seq"), F.lit("document_sums").alias("rule")))
+        close = lambda c: F.coalesce(F.abs(F.col(f"m.{c}") - F.col(f"n.{c}")) <= 0.0002, F.lit(False))
+        differ = F.exists(F.array(*(close(c) for c in names)), lambda ok: ~ok)
+        wrong = metrics.alias("m").join(again.alias("n"), F.col("m.cmp_id") == F.col("n.cmp_id"), "full").filter(differ)
+        out = out.unionByName(wrong.select(F.coalesce("m.cmp_id", "n.cmp_id").alias("cmp_id"), F.lit(0).alias("seq"), F.lit("document_sums").alias("rule")))
     return out
+
+
+def _sums(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """What document_metrics sums, counted from single tokens and the sides' texts instead."""
+    tokens = blocks.select("cmp_id", F.explode("tokens").alias("t")).select("cmp_id", "t.status", T.word_count(F.col("t.text")).alias("n"))
+    of = lambda column, value: F.sum(F.when(F.col(column) == value, F.col("n")).otherwise(0))
+    edits = tokens.groupBy("cmp_id").agg(of("status", INSERT).alias("insertions"), of("status", DELETE).alias("deletions"), of("status", "UNCHANGED").alias("unchanged_tokens"))
+    texts = rows.select("cmp_id", "side", T.word_count(F.col("text")).alias("n")).groupBy("cmp_id").agg(of("side", "a").alias("a_word_count"), of("side", "b").alias("b_word_count"))
+    sums = texts.join(edits, "cmp_id", "left").fillna(0, ["insertions", "deletions", "unchanged_tokens"])
+    total, edited = F.col("a_word_count") + F.col("b_word_count"), F.col("insertions") + F.col("deletions")
+    return sums.withColumn("edit_count", edited).withColumn("similarity", F.when(total == 0, 1.0).otherwise(2 * F.col("unchanged_tokens") / total)).withColumn("churn", F.when(total == 0, 0.0).otherwise(edited / total))

@@ -187,8 +187,8 @@ def diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(NULL AS VARCHAR) AS cmp_id, CAST(NULL AS INTEGER) AS seq, CAST(NULL AS VARCHAR) AS rule WHERE false")
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _collated(spark, sf_dir)[2]
-    return collation.violations(blocks, collation.document_metrics(blocks))
+    _, rows, blocks = _collated(spark, sf_dir)
+    return collation.violations(blocks, collation.document_metrics(blocks), rows)
 
 
 @query()
