@@ -227,15 +227,15 @@ def structural_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRS} SELECT cmp_id, side, block_index, CASE WHEN length(t) > 110 THEN rtrim(substr(t, 1, 109)) || '…' ELSE t END AS excerpt
 FROM (SELECT cmp_id, side, block_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM rows WHERE block_index < 12)""")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = line_blocks(spark, sf_dir)
-    return views.source_order(_without_groups(alignment.sides(P.sharing_pairs(blocks), blocks))).drop("structural")
+    """What SQL can express of source_structure: the excerpts."""
+    return source_structure(spark, sf_dir).drop("structural")
 
 
-def _without_groups(rows: DataFrame) -> DataFrame:
-    """Sides as if each block were inserted or deleted: what source_order reads of difference blocks."""
-    token = F.array(F.struct(F.col("text").alias("text"), F.lit("UNCHANGED").alias("status")))
-    a, b = F.col("side") == "a", F.col("side") == "b"
-    return rows.select("cmp_id", F.col("block_index").alias("seq"), F.when(a, F.col("block_index")).alias("a_index"), F.when(b, F.col("block_index")).alias("b_index"), F.lit("UNCHANGED").alias("status"), F.when(a, token).alias("a_tokens"), F.when(b, token).alias("b_tokens"))
+@query()
+def source_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each side's first blocks in its own order, gathered over splits and merges, with the flag of moved, split and merged
+    ones."""
+    return views.source_order(_collated(spark, sf_dir)[2])
 
 
 @query(f"WITH {LINES} SELECT 'doc_' || doc_id AS cmp_id, block_index + 1 AS seq, text FROM blocks WHERE block_index BETWEEN 2 AND 5")
