@@ -249,7 +249,9 @@ def components(links: DataFrame, name: str, one_task: int = ONE_TASK) -> DataFra
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, one_task: int = ONE_TASK, block: int = BLOCK) -> DataFrame:
     """doc_id, dk, tk, class_id (least doc_id of its component; null for documents without id), class_key, is_first
-    (the one row of its class to keep) and n_links (links found from the document's text class) for every row."""
+    (the one row of its class to keep) and joining_links for every row: the different verified links of the document's
+    text class that the search met while it joined components; pairs of a component joined before are not verified, so
+    near copies may be more."""
     docs = with_text_key(documents)
     prepared = written(docs.mapInArrow(_prepare, PREPARED), "near-prepared")
     same = prepared.groupBy("hi", "lo", "n").agg(F.min(F.struct("dk", "tk")).alias("at"))
@@ -318,16 +320,17 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, one_task
     links = links.unionByName(written(found, "near-links"))
     comp = components(links, "near", one_task)
 
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("d_id")).agg(F.count("*").alias("n_links"))
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("d_id")).agg(F.count("*").alias("joining_links"))
     classes = named.join(comp.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").withColumn("comp", F.coalesce("comp", "id")).drop("c_id")
     heads = classes.groupBy(F.col("comp").alias("h_comp")).agg(F.min(F.struct("f_dk", "f_tk")).alias("head"))
     classes = classes.join(heads, F.col("comp") == F.col("h_comp")).join(degree, F.col("id") == F.col("d_id"), "left")
-    classes = written(classes.select("hi", "lo", "n", F.col("head.f_dk").alias("head_dk"), F.col("head.f_tk").alias("head_tk"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-result")
+    classes = written(classes.select("hi", "lo", "n", F.col("head.f_dk").alias("head_dk"), F.col("head.f_tk").alias("head_tk"), F.coalesce("joining_links", F.lit(0)).alias("joining_links")), "near-result")
     out = prepared.select("dk", "tk", "hi", "lo", "n").join(classes, ["hi", "lo", "n"])
     null = F.lit(None).cast("long")
     return out.select(
         F.when(F.col("dk") != LAST, F.col("dk")).otherwise(null).alias("doc_id"), "dk", "tk",
         F.when(F.col("head_dk") != LAST, F.col("head_dk")).otherwise(null).alias("class_id"),
         F.xxhash64("head_dk", "head_tk").alias("class_key"),
-        ((F.col("dk") == F.col("head_dk")) & (F.col("tk") == F.col("head_tk"))).alias("is_first"), "n_links",
+        ((F.col("dk") == F.col("head_dk")) & (F.col("tk") == F.col("head_tk"))).alias("is_first"), "joining_links",
     )

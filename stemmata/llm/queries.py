@@ -82,7 +82,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "is_first", "n_links")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "is_first", "joining_links")
 
 
 QUERIES = {
