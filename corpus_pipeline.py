@@ -85,7 +85,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the language models nor the signatures; tests compare with brute force.
+#: SQL expresses neither the language models nor the signatures; no test compares the stages with brute force yet.
 ORACLE_SQL = None
 
 
