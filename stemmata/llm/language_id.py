@@ -10,7 +10,7 @@ Training reads only text and non-null lang of documents whose crc32(doc_id) mod
 about TRAIN_CHARS characters a language (1 of 4 of these for calibration). This is the classifier's only sample. Every
 whole text is scored.
 
-Defined results: null texts and texts without letters are `und` with score 0 and rejected; without any training row all
+Defined results: null texts and texts without letters (marks alone are none) are `und` with score 0 and rejected; without any training row all
 are `und`; a null doc_id counts as held out; repeated rows are each returned; ties between languages go to the first in
 code-point order; other columns are ignored.
 """
@@ -46,7 +46,7 @@ RESULT = "doc_id long, held_out boolean, lang_pred string, score double, cross_e
 def _letters() -> np.ndarray:
     """Code point -> lower-case letter or mark, else a space."""
     table = np.full(0x110000, SPACE, np.uint32)
-    for c in range(0x32000):
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha() or unicodedata.category(x)[0] == "M":
             low = x.lower()
@@ -55,6 +55,12 @@ def _letters() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _alphabetic() -> np.ndarray:
+    """Whether a code point is a letter; marks alone are none."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def _chars(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' letters and spaces end to end, ORDER - 1 edges before each, and each one's text."""
     gap = BREAK * (ORDER - 1)
@@ -147,8 +153,8 @@ def _entropies(models: list[Model], texts: list[str | None]) -> tuple[np.ndarray
     """Cross-entropy per character by text and language, and the number of characters."""
     grams, which, owner = _grams(texts)
     n = np.bincount(owner, minlength=len(texts))
-    # A text of spaces only has no letters.
-    letters = np.bincount(owner, (grams[:, -1] != SPACE)[which], len(texts)) if len(which) else np.zeros(len(texts))
+    # Neither spaces nor marks are letters.
+    letters = np.bincount(owner, _alphabetic()[grams[:, -1]][which], len(texts)) if len(which) else np.zeros(len(texts))
     out = np.column_stack([np.bincount(owner, m.bits(grams)[which], len(texts)) / np.maximum(n, 1) for m in models])
     return out, np.where(letters > 0, n, 0)
 
@@ -193,7 +199,8 @@ def train(documents: DataFrame, train_chars: int = TRAIN_CHARS) -> Identifier:
     rows = rows.filter((_fold(F.col("doc_id")) % 5 != 0) & F.col("text").rlike("\\p{L}") & F.col("lang").isNotNull())
     shares = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).select(F.col("lang").alias("s_lang"), (F.lit(float(train_chars)) / F.col("chars")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
-    some = rows.join(shares, F.col("lang") == F.col("s_lang")).filter(chance < F.col("share")).select("text", "lang", F.when(F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 0, 1).otherwise(0).alias("fold"))
+    # A row a language, as the models on the driver: few enough to broadcast.
+    some = rows.join(F.broadcast(shares), F.col("lang") == F.col("s_lang")).filter(chance < F.col("share")).select("text", "lang", F.when(F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 0, 1).otherwise(0).alias("fold"))
 
     def counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
