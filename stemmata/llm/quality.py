@@ -128,11 +128,21 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(expected_path(self.size), 1.0))
 
 
+def _least_by_hash(rows: DataFrame, wanted: int) -> DataFrame:
+    """The `wanted` rows of least id hash. A bound on the hash leaves about twice as many to be sorted; it grows until it
+    leaves enough, as it must where rows repeat."""
+    hashed = rows.withColumn("chance", F.pmod(F.xxhash64("dk", "tk"), F.lit(2**40)) / float(2**40))
+    share = 2.0 * wanted / max(1, rows.count())
+    while share < 1.0 and hashed.filter(F.col("chance") < share).count() < wanted:
+        share *= 4.0
+    return hashed.filter(F.col("chance") < share).orderBy("chance", "dk", "tk").limit(wanted)
+
+
 def judge(documents: DataFrame, labels: DataFrame, allowed: float = ALLOWED, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
     """doc_id, n_words, the four counts, base_failed, score, threshold, kept for every row."""
     stats = written(statistics(documents), "quality")
     features = [f"f_{f}" for f in FEATURES]
-    fit = stats.filter(~F.col("base_failed")).orderBy(F.xxhash64("dk", "tk"), "dk", "tk").limit(trees * subsample).select(*features).collect()
+    fit = _least_by_hash(stats.filter(~F.col("base_failed")), trees * subsample).select(*features).collect()
     shared = stats.sparkSession.sparkContext.broadcast(Forest(np.array([tuple(r) for r in fit], np.float64).reshape(-1, len(features)), trees, subsample))
 
     def scored(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
