@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null document id: null ids come last.
@@ -20,8 +21,11 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one, but only if driver
+    and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (at or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -130,12 +134,9 @@ def sizes(docs: DataFrame) -> tuple[int, int]:
     return int(chars or 0), rows
 
 
-def partition_offsets(rows: DataFrame, part: str, amount: str) -> tuple[dict, int]:
-    """Second pass of a prefix sum: for each partition the sum of all before it, in the order of their names.
-
-    Only one number a partition comes to the driver, so its size is bounded by the number of partitions."""
-    at, total = {}, 0
-    for p, n in sorted(rows.groupBy(part).agg(F.sum(amount)).collect()):
-        at[p] = total
-        total += int(n or 0)
-    return at, total
+def with_offsets(rows: DataFrame, part: str, amount: str) -> DataFrame:
+    """Second pass of a prefix sum: adds `before`, the sum of `amount` over all partitions before the row's, in the order
+    of their names. Only one row a partition is ordered in one task; Catalyst broadcasts these rows if they are few."""
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(part).agg(F.sum(amount).alias("n")).select(F.col(part).alias("o_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("before"))
+    return rows.join(sums, F.col(part) == F.col("o_part")).drop("o_part")

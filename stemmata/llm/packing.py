@@ -1,9 +1,9 @@
 """Packing: concatenate and cut. All documents' ids form one stream, cut into sequences of a fixed length.
 
 Pass 1 encodes each document once, keeps a running total within each split of an input file (or each partition, where
-the input isn't read from files) and writes ids, split and local offset to the shared folder. One total a split reaches
-the driver; their prefix sums, by file name and place in the file, are the splits' global offsets, so the stream follows
-the input's order, such as that of training positions. Pass 2 cuts each document at multiples of the length: a piece is
+the input isn't read from files) and writes ids, split and local offset to the shared folder. The prefix sums of one total
+a split, by file name and place in the file, are the splits' global offsets, so the stream follows the input's order, such
+as that of training positions; they are joined to the stream. Pass 2 cuts each document at multiples of the length: a piece is
 a boundary record of document, place in the document, sequence and place in the sequence. No rows are exchanged. Only
 the last sequence is short: it is padded to the length unless its size is a power of two.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partition_offsets, with_text_key, written
+from .common import batches, with_offsets, with_text_key, written
 from .tokens import encoder
 
 LENGTH = 2048
@@ -43,8 +43,7 @@ def pack(documents: DataFrame, path: str, end_id: int, length: int = LENGTH, wit
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("split"), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "split", "local", "n", "ids"])
 
     stream = written(docs.mapInArrow(encoded, "doc_id long, split string, local long, n long, ids binary"), "packing")
-    before, total = partition_offsets(stream, "split", "n")
-    shared = stream.sparkSession.sparkContext.broadcast(before)
+    total = int(stream.agg(F.sum("n")).first()[0] or 0)
     tail = total % length
     last = total // length if tail else -1
     last_padded = tail if tail & (tail - 1) == 0 else length
@@ -52,9 +51,9 @@ def pack(documents: DataFrame, path: str, end_id: int, length: int = LENGTH, wit
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, 2_000_000, "ids"):
             rows: list[tuple] = []
-            for doc, split, local, blob in zip(batch.column("doc_id").to_pylist(), batch.column("split").to_pylist(), batch.column("local").to_pylist(), batch.column("ids"), strict=True):
+            for doc, before, local, blob in zip(batch.column("doc_id").to_pylist(), batch.column("before").to_pylist(), batch.column("local").to_pylist(), batch.column("ids"), strict=True):
                 ids = np.frombuffer(blob.as_buffer(), np.uint16).astype("<u4")
-                begin, n = shared.value[split] + local, len(ids)
+                begin, n = before + local, len(ids)
                 a = 0
                 while a < n:
                     sequence, offset = divmod(begin + a, length)
@@ -65,4 +64,5 @@ def pack(documents: DataFrame, path: str, end_id: int, length: int = LENGTH, wit
             cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:8]), pa.array(cols[8], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "ids"])
 
-    return stream.mapInArrow(cut, PIECES)
+    placed = with_offsets(stream, "split", "n").select("doc_id", "before", "local", "ids")
+    return placed.mapInArrow(cut, PIECES)
