@@ -64,9 +64,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import scan
+    """A ledger for each folder of tables: what an earlier run of the query scanned there is not read again."""
+    from .secrets import Ledger, scan
 
-    found, _ = scan(documents(spark, sf_dir))
+    found = scan(documents(spark, sf_dir), Ledger.of(spark, sf_dir))
     base = F.filter("findings", lambda x: x["kind"].isin("assign", "access", "hex"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
