@@ -13,8 +13,11 @@ longest l, come from its neighbours; where the neighbours don't settle both, a s
 All bytes [p - l, p + r) of a place p go, with the longest l and r over all partners that reach 400 together: those
 strings all contain p, so their union is one interval.
 
-Anchors estimated to occur HEAVY times or more are not gathered in one task: their windows are grouped by 128-bit
-hashes, summed in each map task first and dealt by window.
+Anchors estimated to occur HEAVY times or more are split within the merge sort: of a repeated window either the
+`(length + gram) / 2` bytes from the anchor on agree, or the bytes before it up to the same sum less the anchor. So such
+suffixes go out in two sorts, one by what follows and one by what precedes (with the roles of suffix and context
+exchanged), dealt and grouped by that many bytes instead of the anchor's; the spans of both are joined. This changes who
+meets whom in a task, not the pairs that count: those that reach `length` bytes meet in at least one of the sorts.
 
 Defined results: a null text is empty; a text shorter than 400 bytes keeps all; repeated rows remove each other;
 null ids are allowed; other columns are ignored.
@@ -39,7 +42,8 @@ from .common import BASES, batches, grams, mix, sizes, sliding_min, with_text_ke
 
 LENGTH = 400
 GRAM = 32
-HEAVY = 100_000
+#: Estimated places of an anchor from which on its suffixes are split.
+HEAVY = 20_000
 #: Bytes of contexts a map task holds before it sends its sorted runs.
 HELD = 96_000_000
 BATCH = 2_000_000
@@ -214,8 +218,9 @@ def reaches(suffixes: list[bytes], shared: list[int], lefts: list[bytes], single
     return out
 
 
-def _range_spans(blobs: list[bytes], length: int, gram: int) -> pd.DataFrame:
-    """Merges the runs of a key range and finds the removed interval of each place."""
+def _range_spans(blobs: list[bytes], length: int, prefix: int, flipped: bool = False) -> pd.DataFrame:
+    """Merges the runs of a key range and finds the removed interval of each place. Suffixes that share `prefix` bytes
+    are one group. flipped: what is sorted are the reversed left contexts, and the suffixes are their contexts."""
     decoded = [front_decoded(b) for b in blobs]
     spans: list[np.ndarray] = []
     suffixes: list[bytes] = []
@@ -230,13 +235,14 @@ def _range_spans(blobs: list[bytes], length: int, gram: int) -> pd.DataFrame:
         if len(at) > 1 or (at and len(at[0]) > 1):
             for found, p in zip(reaches(suffixes, shared, lefts, [len(p) == 1 for p in at], length), at, strict=True):
                 if found:
-                    spans.append(np.column_stack([p[:, 0], p[:, 1], p[:, 2] - found[0], p[:, 2] + found[1]]))
+                    left, right = found[::-1] if flipped else found
+                    spans.append(np.column_stack([p[:, 0], p[:, 1], p[:, 2] - left, p[:, 2] + right]))
         for x in (suffixes, shared, lefts, places, known):
             x.clear()
 
     for run, i, h in merged([(d[0], d[1]) for d in decoded]):
         suffix, left, at = decoded[run][0][i], decoded[run][2][i], decoded[run][3][i]
-        if h < gram:
+        if h < prefix:
             flush()
             least = 0
         elif suffixes:
@@ -258,81 +264,74 @@ def _range_spans(blobs: list[bytes], length: int, gram: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc", "tk", "start", "stop"])
 
 
-def _window_spans(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of windows by hash, the places of those found twice or more."""
-    at: dict[bytes, list[np.ndarray]] = {}
-    for h, blob in zip(rows["key"], rows["blob"], strict=True):
-        at.setdefault(h, []).append(np.frombuffer(blob, np.int64).reshape(-1, 3))
-    found = [np.concatenate(p) for p in at.values()]
-    found = [p for p in found if len(p) > 1]
-    p = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    return pd.DataFrame({"doc": p[:, 0], "tk": p[:, 1], "start": p[:, 2], "stop": p[:, 2] + length})
+def halves(length: int, gram: int) -> tuple[int, int]:
+    """For split anchors: how many bytes from the anchor on, or else before it, any repeated window shares."""
+    right = (length + gram + 1) // 2
+    return right, length - right + 1
 
 
 def _candidates(shared, splitters: list[bytes], parts: int, length: int, gram: int):
-    """Sorted front-coded runs for each key range, and the windows of heavy anchors."""
-    reach = length - gram
+    """Sorted front-coded runs for each key range; suffixes of heavy anchors in the two sorts of halves()."""
+    reach, groups = length - gram, (len(splitters) + 1) * parts
+    right, left = halves(length, gram)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        bucket, keys, blobs = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "key", "blob"])
-
-    def sorted_runs(entries: dict, windows: dict) -> Iterator[pa.RecordBatch]:
-        by_range: dict[int, list] = {}
-        for key in sorted(entries):
-            r = bisect_right(splitters, key[0][:gram]) if splitters else 0
-            by_range.setdefault(r * parts + (hash_of(key[0][:gram]) % parts if parts > 1 else 0), []).append(key)
+        bucket, blobs = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def bucket_of(kind: int, key: tuple[bytes, bytes]) -> int:
+        """Kind k's buckets are k * groups and on. Heavy ones are dealt by a hash of what their groups share."""
+        if kind:
+            return kind * groups + hash_of(key[0][: (right, left)[kind - 1]]) % groups
+        return (bisect_right(splitters, key[0][:gram]) if splitters else 0) * parts + (hash_of(key[0][:gram]) % parts if parts > 1 else 0)
+
+    def sorted_runs(kinds: tuple[dict, dict, dict]) -> Iterator[pa.RecordBatch]:
         out = []
-        for bucket, keys in by_range.items():
-            out.append((bucket, None, front_coded(keys, [entries[k] for k in keys])))
-            if len(out) == 64:
-                yield batch_of(out)
-                out = []
-        for key, places in windows.items():
-            out.append((-1 - int.from_bytes(key[:6]) % (len(splitters) * parts + 1), key, np.array(places, np.int64).tobytes()))
-            if len(out) == 4096:
-                yield batch_of(out)
-                out = []
+        for kind, entries in enumerate(kinds):
+            by_range: dict[int, list] = {}
+            for key in sorted(entries):
+                by_range.setdefault(bucket_of(kind, key), []).append(key)
+            for bucket, keys in by_range.items():
+                out.append((bucket, front_coded(keys, [entries[k] for k in keys])))
+                if len(out) == 64:
+                    yield batch_of(out)
+                    out = []
         if out:
             yield batch_of(out)
 
-    def hash_of(gram_bytes: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(gram_bytes, digest_size=6).digest())
+    def hash_of(data: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=6).digest())
 
     def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, entries, windows, held = shared.value, {}, {}, 0
+        counts, kinds, held = shared.value, ({}, {}, {}), 0
         for batch in batches(frames, BATCH):
             data, bounds = _laid_out(batch)
-            places, h, whole, least = _anchors(data, bounds, length, gram)
+            places, h, _, _ = _anchors(data, bounds, length, gram)
             good = counts.repeated(h)
             places, h = places[good], h[good]
             heavy = counts.heavy(h)
             ids, tks = batch.column("dk").to_pylist(), batch.column("tk").to_pylist()
-            if heavy.any():
-                values = np.unique(h[heavy])
-                starts = np.flatnonzero(whole & np.isin(least, values))
-                wide = data.astype(np.uint64) + np.uint64(1)
-                full = np.stack([mix(grams(wide, length, b)) for b in BASES], 1)[starts]
-                row = np.searchsorted(bounds, starts, side="right") - 1
-                for r, s, key in zip(row.tolist(), starts.tolist(), full, strict=True):
-                    windows.setdefault(key.tobytes(), []).append((ids[r], tks[r], s - int(bounds[r])))
-                held += 150 * len(starts)
-                places = places[~heavy]
             raw = data.tobytes()
             row = np.searchsorted(bounds, places, side="right") - 1
-            for r, p, a, z in zip(row.tolist(), places.tolist(), bounds[row].tolist(), bounds[row + 1].tolist(), strict=True):
-                key = (raw[p : min(z, p + length)], raw[max(a, p - reach) : p][::-1])
-                old = entries.get(key)
-                if old is None:
-                    entries[key] = [(ids[r], tks[r], p - a)]
-                    held += 1000
+            for r, p, a, z, hot in zip(row.tolist(), places.tolist(), bounds[row].tolist(), bounds[row + 1].tolist(), heavy.tolist(), strict=True):
+                suffix, before = raw[p : min(z, p + length)], raw[max(a, p - reach) : p][::-1]
+                if not hot:
+                    todo = [(0, (suffix, before))]
                 else:
-                    old.append((ids[r], tks[r], p - a))
-                    held += 150
+                    # Where one side is too short for its sort, it can't be the side that agrees that far.
+                    todo = [(1, (suffix, before))] * (len(suffix) >= right) + [(2, (before, suffix))] * (len(before) >= left)
+                for kind, key in todo:
+                    old = kinds[kind].get(key)
+                    if old is None:
+                        kinds[kind][key] = [(ids[r], tks[r], p - a)]
+                        held += 1000
+                    else:
+                        old.append((ids[r], tks[r], p - a))
+                        held += 150
             if held > HELD:
-                yield from sorted_runs(entries, windows)
-                entries, windows, held = {}, {}, 0
-        yield from sorted_runs(entries, windows)
+                yield from sorted_runs(kinds)
+                kinds, held = ({}, {}, {}), 0
+        yield from sorted_runs(kinds)
 
     return found
 
@@ -385,10 +384,13 @@ def remove_repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int
     ranges = min(MAX_RANGES, groups)
     splitters = _splitters(docs, rows, ranges, length, gram)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    runs = docs.mapInArrow(_candidates(shared, splitters, -(-groups // ranges), length, gram), "bucket long, key binary, blob binary")
+    parts = -(-groups // ranges)
+    runs = docs.mapInArrow(_candidates(shared, splitters, parts, length, gram), "bucket long, blob binary")
+    prefixes, each = (gram, *halves(length, gram)), (len(splitters) + 1) * parts
 
     def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        return _window_spans(rows, length) if rows["bucket"].iloc[0] < 0 else _range_spans(list(rows["blob"]), length, gram)
+        kind = int(rows["bucket"].iloc[0]) // each
+        return _range_spans(list(rows["blob"]), length, prefixes[kind], kind == 2)
 
     found = runs.groupBy("bucket").applyInPandas(spans, "doc long, tk long, start long, stop long")
     by_doc = found.groupBy(F.col("doc").alias("g_doc"), F.col("tk").alias("g_tk")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
