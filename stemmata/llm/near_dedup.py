@@ -41,9 +41,7 @@ REGISTERS, BANDS = 128, 32
 BLOCK = 1024
 #: Registers must agree on this share at least before a pair is verified: six deviations below 0.8.
 SCREEN = 0.58
-ROUNDS = 1
-#: Links that one task may unite.
-ONE_TASK = 1_000_000
+ROUNDS = 3
 PREPARED = "dk long, tk long, hi long, lo long, n int, sig binary"
 _STEP = 0x9E3779B97F4A7C15
 _GOLD = np.uint64(_STEP)
@@ -218,26 +216,13 @@ def _bucket_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets = Sets()
-    for f in frames:
-        for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
-            sets.up.setdefault(a, a), sets.up.setdefault(b, b)
-            sets.join(a, b)
-    yield pd.DataFrame({"id": list(sets.up), "comp": [sets.root(x) for x in sets.up]}, dtype="int64")
-
-
-def components(links: DataFrame, name: str, one_task: int = ONE_TASK) -> DataFrame:
-    """id, comp (the least id that links reach) for all ids of links (a, b). Up to `one_task` links, 16 bytes each, are
-    united in a single task; more of them by repeated least labels with pointer jumping, where each round is written, so
-    the plan stays short and lost executors cost no earlier round."""
-    links = written(links.select("a", "b").distinct(), f"{name}-edges")
-    if links.count() <= one_task:
-        return written(links.coalesce(1).mapInPandas(_united, "id long, comp long"), f"{name}-labels")
-    both = written(links.union(links.select("b", "a")), f"{name}-edges")
+def components(links: DataFrame, name: str) -> DataFrame:
+    """id, comp (the least id that links reach) for all ids of links (a, b): repeated least labels with pointer jumping,
+    where each round is written, so the plan stays short and lost executors cost no earlier round."""
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+    labels = written(labels, f"{name}-labels")
     while True:
-        labels = written(labels, f"{name}-labels")
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
         new = labels.join(seen, "id", "left").join(jump, "comp", "left").select("id", F.least("comp", "near", "far").alias("comp"), F.col("comp").alias("old"))
@@ -247,7 +232,7 @@ def components(links: DataFrame, name: str, one_task: int = ONE_TASK) -> DataFra
         labels = new.select("id", "comp")
 
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, one_task: int = ONE_TASK, block: int = BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, dk, tk, class_id (least doc_id of its component; null for documents without id), class_key, is_first
     (the one row of its class to keep) and joining_links for every row: the different verified links of the document's
     text class that the search met while it joined components; pairs of a component joined before are not verified, so
@@ -300,7 +285,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, one_task
 
     star = written(in_buckets.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "near-star")
     links = written(verified(star.groupBy("a").agg(F.min("b").alias("b"))), "near-links")
-    comp = components(links, "near", one_task)
+    comp = components(links, "near")
     labelled = lambda rows, column: rows.join(comp.select(F.col("id").alias(column), F.col("comp").alias(f"{column}_comp")), column, "left").withColumn(f"{column}_comp", F.coalesce(f"{column}_comp", column))
     for _ in range(ROUNDS):
         apart = labelled(labelled(star, "a"), "b").filter("a_comp <> b_comp").groupBy("a_comp", "b_comp").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
@@ -308,7 +293,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, one_task
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        comp = components(links, "near", one_task)
+        comp = components(links, "near")
 
     open_rows = labelled(in_buckets, "id").withColumnRenamed("id_comp", "comp")
     shape = open_rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("id")).alias("who"), F.max("size").alias("size")).filter("low <> high")
@@ -318,7 +303,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, one_task
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     found = rest.join(texts, "id").groupBy("bucket", "x", "y").applyInPandas(lambda rows: _bucket_links(rows, threshold), "a long, b long")
     links = links.unionByName(written(found, "near-links"))
-    comp = components(links, "near", one_task)
+    comp = components(links, "near")
 
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("d_id")).agg(F.count("*").alias("joining_links"))
