@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
     """doc_id (long), text, dk (doc_id, or LAST for null) and tk, a hash of the text that tells rows of one doc_id
     apart. dk and tk are never null. Other columns go."""

@@ -151,7 +151,7 @@ def test_token_files(docs, none):
     assert known == sorted(known) and [r.doc_id for r in got][-2:] == [None, None]
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
     shard = token_files.Shard(bytes(files.filter("n_docs > 1").first()["data"]))
-    assert np.concatenate([shard.document(i) for i in range(len(shard.doc_ids))]).tolist() == shard.ids.tolist()
+    assert np.concatenate([shard.document(i) for i in range(shard.n)]).tolist() == shard.ids.tolist()
     assert token_files.read_tokens(token_files.write_tokens(none, path, end_id=2)).count() == 0
 
 
@@ -178,7 +178,9 @@ def test_packing(docs, none):
 
 
 def test_mixing(docs, none):
-    rows = mixing.mix(docs).collect()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), "source").distinct().withColumnRenamed("doc_id", "d")
+    mixed = mixing.mix(docs)
+    rows = mixed.join(rows, mixed["doc_id"].eqNullSafe(rows["d"]) & (mixed["tk"] == rows["tk"])).select(mixed["*"], "source").collect()
     size = defaultdict(int)
     for _, t, _, source, *_ in ROWS:
         size[source] += len(words(t))
@@ -197,29 +199,55 @@ def test_mixing(docs, none):
             open_sources.remove(s)
     taken = defaultdict(int)
     for r in rows:
-        assert abs(r.target - target[r.row.source]) < 1e-6 and r.source_size == size[r.row.source] and r.taken <= 2 * r["size"]
+        assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == size[r.source] and r.taken <= 2 * r["size"]
         assert all(0 <= c.position <= 1 for c in r.copies)
-        taken[r.row.source] += r.taken
+        taken[r.source] += r.taken
     assert len(rows) == len(ROWS) and all(abs(taken[s] - target[s]) <= 1 for s in order)
-    ordered = mixing.training_order(mixing.mix(docs)).collect()
+    ordered = mixing.training_order(docs, mixing.mix(docs)).collect()
     assert [r.position for r in ordered] == sorted(r.position for r in ordered)
     assert mixing.mix(none).count() == 0
     text = docs.select(mixing.first_words(F.lit("  a b\n c d "), F.lit(3)).alias("x"), mixing.first_words(F.lit(" a "), F.lit(9)).alias("y")).first()
     assert (text.x, text.y) == ("  a b\n c", " a ")
 
 
-def test_secrets(spark, docs, none):
+def plain_secrets(text):
+    """The base patterns as the contract has them, without hints."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return sorted(out)
+
+
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "tOken", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abc123", "x/y+z.", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef" * 3, "é", "ſecret", "toKen", "\n", "://", "u:pw1@", "ghp_", "A" * 40]), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_base_secrets_are_the_plain_patterns(parts):
+    text = "".join(parts)
+    base = [(a, secrets.KINDS.index(k), z) for k, a, z in secrets.find(text) if k in secrets.KINDS[:3]]
+    assert base == plain_secrets(text)
+
+
+def test_secrets(spark, docs, none, tmp_path):
+    ledger = lambda name: secrets.Ledger(spark, f"file://{tmp_path}/{name}")
     text = 'api_key = "abcdef0123456789abcdef0123456789" AKIA' + "Z" * 18 + " token: short password=hunter22 https://me:pass@host/"
     more = spark.createDataFrame([(90, text), (91, text), (92, None)], "doc_id long, text string")
-    found, new = secrets.scan(more)
-    rows = {r.doc_id: [(f.kind, text[f.start : f.stop]) for f in r.findings] for r in found.collect()}
+    first = ledger("a")
+    rows = {r.doc_id: [(f.kind, text[f.start : f.stop]) for f in r.findings] for r in secrets.scan(more, first).collect()}
     assert rows[90] == rows[91] and rows[92] == []
     assert [k for k, _ in rows[90]] == ["assign", "hex", "access", "assign", "url_password"]
-    assert new.count() == 2
-    again, newer = secrets.scan(more.unionByName(spark.createDataFrame([(93, "secret = abcdefgh")], "doc_id long, text string")), new)
-    assert newer.count() == 1 and again.filter("size(findings) > 0").count() == 3
+    assert first.rows().count() == 2
+    # A later scan reads only what the ledger lacks: the mark put in it for a known blob stays.
+    marked = first.rows().select("blob", "rules", F.when(F.size("findings") > 0, F.slice("findings", 1, 1)).otherwise(F.col("findings")).alias("findings"))
+    second = ledger("b")
+    second.append(marked)
+    second.append(spark.createDataFrame([("0" * 64, "older rules", None)], secrets.LEDGER))
+    extra = spark.createDataFrame([(93, "secret = abcdefgh"), (94, "secret = abcdefgh")], "doc_id long, text string")
+    again = {r.doc_id: [f.kind for f in r.findings] for r in secrets.scan(more.unionByName(extra), second).collect()}
+    assert again == {90: ["assign"], 91: ["assign"], 92: [], 93: ["assign"], 94: ["assign"]} and second.rows().count() == 3
+    assert spark.read.parquet(second.path).count() == 4
     assert secrets.redact("a secret = abcdefgh b", [{"kind": "assign", "start": 2, "stop": 19}]) == "a [assign] b"
-    assert secrets.scan(docs)[0].count() == len(ROWS) and secrets.scan(none)[0].count() == 0
+    found = secrets.scan(docs, ledger("c")).collect()
+    assert counted((r.doc_id, len(r.findings)) for r in found) == counted((d, len(secrets.find(t or ""))) for d, t, *_ in ROWS)
+    assert secrets.scan(none, ledger("d")).count() == 0
 
 
 def test_quality(spark, docs, none):
@@ -277,14 +305,32 @@ def test_fingerprints(docs, none):
         edited, following = after[r.edited_sha256]
         jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
         assert abs(r.near_edited - jaccard(own.split("\n"), edited.split("\n"))) < 1e-12
+        if r.doc_id is not None:
+            assert abs(r.near_next - jaccard(own.split("\n"), following.split("\n"))) < 1e-12
     assert len({(r.fingerprint) for r in got if r.doc_id in (1, 3)}) == 1
     assert fingerprints.compare_with_edits(none).count() == 0
 
 
-def test_fingerprint_retries_until_peeled(spark):
-    a, b = "\n".join(f"a{i}" for i in range(90)), "\n".join(f"b{i}" for i in range(85)) + "\na1\na2\na3\na4\na5"
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.likeness(fingerprints.digests(F.col("a")), fingerprints.digests(F.col("b"))).alias("x")).first()
-    assert abs(row.x - 5 / 175) < 1e-12
+@pytest.mark.parametrize(("m", "n", "shared"), [(90, 85, 5), (400, 3, 2), (1, 0, 0), (3000, 2990, 2900), (40, 0, 40)])
+def test_fingerprint_retries_until_peeled(spark, m, n, shared):
+    both = [f"c{i}" for i in range(shared)]
+    a, b = "\n".join([f"a{i}" for i in range(m)] + both), "\n".join([f"b{i}" for i in range(n)] + both)
+    rows = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.digests(F.col("a")).alias("a_keys"), fingerprints.digests(F.col("b")).alias("b_keys"))
+    rows = fingerprints.with_tables(fingerprints.with_tables(rows, "a"), "b")
+    row = fingerprints.with_likeness(fingerprints.with_likeness(rows, "a", "b", "x"), "b", "a", "y").first()
+    # A text without lines has one empty paragraph.
+    lines = len(set(a.split("\n")) | set(b.split("\n")))
+    assert abs(row.x - len(set(a.split("\n")) & set(b.split("\n"))) / lines) < 1e-12 and row.x == row.y
+
+
+def test_fingerprint_blocks_and_folds(spark):
+    keys = [(i * 0x9E3779B97F4A7C15 + 12345) % 2**64 - 2**63 for i in range(700)]
+    df = spark.createDataFrame([(keys,)], "k array<long>").select("k", *(fingerprints.blocks(F.col("k"), F.lit(b)).alias(f"b{b}") for b in (0, 1, 5, 7)))
+    df = df.select("*", *(fingerprints.tables(F.col(f"b{b}")).alias(f"t{b}") for b in (1, 5)))
+    row = df.select("*", fingerprints.folded(F.col("t5"), F.lit(2)).alias("f")).first()
+    for b in (0, 1, 5, 7):
+        assert [sorted(x) for x in row[f"b{b}"]] == [sorted(k for k in keys if k % 2**b == i) for i in range(2**b)]
+    assert row.f == row.t1
 
 
 def multiset(text):
@@ -311,7 +357,7 @@ def test_near_duplicates(docs, none):
     for i, (d, _, _) in enumerate(sets):
         least[root(i)] = min(least[root(i)], d)
     got = near_dedup.near_duplicates(docs).collect()
-    rounds = near_dedup.near_duplicates(docs, one_task=0, block=2).collect()
+    rounds = near_dedup.near_duplicates(docs, block=2).collect()
     assert counted((r.doc_id, r.class_id) for r in rounds) == counted((r.doc_id, r.class_id) for r in got)
     expected = [(None if d == 2**63 - 1 else d, None if least[root(i)] == 2**63 - 1 else least[root(i)]) for i, (d, _, _) in enumerate(sets)]
     assert counted((r.doc_id, r.class_id) for r in got) == counted(expected)
