@@ -9,20 +9,37 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
+class Pattern:
+    """A text to be compared with many: its letters' places, once. A row of the table of longest common subsequences is
+    one number with a bit for each of its characters; a character of the other text costs one addition, and the row after
+    a text goes on with whatever follows that text."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+        self.start = (1 << len(text)) - 1
+
+    def after(self, row: int, text: str) -> int:
+        ones = self.start
+        for places in map(self.places.get, text):
+            if places:
+                hit = row & places
+                row = (row + hit | row ^ hit) & ones
+        return row
+
+    def common(self, row: int) -> int:
+        """Length of a longest common subsequence with the text that led to the row."""
+        return len(self.text) - row.bit_count()
+
+
 def common_length(a: str, b: str) -> int:
-    """Length of a longest common subsequence, by bit-parallel dynamic programming: a row of the table is one number
-    with a bit for each character of the longer text, and a character of the shorter costs one addition."""
+    """Length of a longest common subsequence."""
     if len(a) < len(b):
         a, b = b, a
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    ones = (1 << len(a)) - 1
-    row = ones
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & ones
-    return len(a) - row.bit_count()
+    pattern = Pattern(a)
+    return pattern.common(pattern.after(pattern.start, b))
 
 
 def ratio(a: str, b: str) -> float:
@@ -42,6 +59,14 @@ def ratio(a: str, b: str) -> float:
     return 2 * (start + end + common_length(a[start : len(a) - end], b[start : len(b) - end])) / (len(a) + len(b))
 
 
+def ratio_with(pattern: Pattern, b: str, ends: int = 12) -> float:
+    """ratio(pattern.text, b). Texts that begin or end alike are cut there first, the others share the pattern."""
+    a = pattern.text
+    if not a or not b or a[:ends] == b[:ends] or a[-ends:] == b[-ends:]:
+        return ratio(a, b)
+    return 2 * pattern.common(pattern.after(pattern.start, b)) / (len(a) + len(b))
+
+
 def similarity(a: str, b: str) -> float:
     """ratio to four places, as the block metrics report it."""
     return round(ratio(a, b), 4)

@@ -87,8 +87,14 @@ def scored(open_blocks: DataFrame, threshold: float = 0.5) -> DataFrame:
     met = side("a").join(side("b"), ["cmp_id", "gap"]).filter(S.plausible_length(a, b) & (S.length_bound(a, b) >= threshold - 1e-9))
 
     def rated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern = S.Pattern("")
         for f in frames:
-            f["score"] = [S.ratio(x, y) if S.may_reach(x, y, threshold) else 0.0 for x, y in zip(f["a_text"], f["b_text"], strict=True)]
+            scores = []
+            for x, y in zip(f["a_text"], f["b_text"], strict=True):
+                if pattern.text != x:  # a block meets its partners one after the other
+                    pattern = S.Pattern(x)
+                scores.append(S.ratio_with(pattern, y) if S.may_reach(x, y, threshold) else 0.0)
+            f["score"] = scores
             f = f[f["score"] >= threshold]
             yield f[["cmp_id", "gap", "a_index", "b_index"]].assign(score=[round(s, 4) for s in f["score"]])
 
@@ -115,19 +121,65 @@ Group = tuple[int, tuple[int, ...], float]
 
 
 class Texts:
-    """Texts by number, with similarities computed once."""
-
-    def __init__(self, one: dict[int, str], many: dict[int, str]) -> None:
-        self.one, self.many = one, many
-        self.known: dict[tuple[int, tuple[int, ...]], float] = {}
-
-    def score(self, i: int, window: tuple[int, ...], floor: float) -> float:
-        """Similarity of a block and a window's joined text; 0 where it can't exceed `floor`."""
-        key = (i, window)
-        if key not in self.known:
-            joined = " ".join(self.many[j] for j in window)
-            self.known[key] = S.similarity(self.one[i], joined) if S.may_reach(self.one[i], joined, floor) else 0.0
-        return self.known[key]
+    """Blocks of one side against windows of the other. What is common to two single blocks is computed once for both
+    directions (shared), and a block's row of the table goes on from a window to a longer one."""
+
+    def __init__(self, one: dict[int, str], many: dict[int, str], shared: dict[tuple[int, int], int], swapped: bool) -> None:
+        self.one, self.many, self.shared, self.swapped = one, many, shared, swapped
+        self.pattern, self.at = S.Pattern(""), -1
+        self.rows: dict[int, int] = {}
+
+    def _use(self, i: int) -> S.Pattern:
+        if self.at != i:
+            self.pattern, self.at, self.rows = S.Pattern(self.one[i]), i, {}
+        return self.pattern
+
+    def _row(self, i: int, j: int) -> int:
+        if j not in self.rows:
+            pattern = self._use(i)
+            self.rows[j] = pattern.after(pattern.start, self.many[j])
+        return self.rows[j]
+
+    def common(self, i: int, j: int) -> int:
+        key = (j, i) if self.swapped else (i, j)
+        if key not in self.shared:
+            self._use(i)
+            self.shared[key] = self.pattern.common(self._row(i, j))
+        return self.shared[key]
+
+    def length(self, window: tuple[int, ...]) -> int:
+        return sum(len(self.many[j]) for j in window) + len(window) - 1
+
+    def single(self, i: int, j: int) -> float:
+        every = len(self.one[i]) + len(self.many[j])
+        return round(2 * self.common(i, j) / every, 4) if every else 1.0
+
+    def bound(self, i: int, window: tuple[int, ...]) -> float:
+        """No score of the window's joined text is above; from the lengths alone."""
+        n, m = len(self.one[i]), self.length(window)
+        return 2 * min(n, m) / (n + m) + 1e-4
+
+    def finer_bound(self, i: int, window: tuple[int, ...]) -> float:
+        """As bound, from what the window's blocks have in common with the block one by one."""
+        parts = sum(self.common(i, j) for j in window) + len(window) - 1
+        return 2 * parts / (len(self.one[i]) + self.length(window)) + 1e-4
+
+    def row_bound(self, i: int, window: tuple[int, ...]) -> float:
+        """As finer_bound, with what the first block has in common with just the part of the block that the others, at
+        best, leave to it."""
+        n, rest = len(self.one[i]), sum(self.common(i, j) for j in window[1:]) + len(window) - 1
+        k = max(0, n - rest)
+        parts = k - (self._row(i, window[0]) & ((1 << k) - 1)).bit_count() + min(n, rest)
+        return 2 * parts / (n + self.length(window)) + 1e-4
+
+    def score(self, i: int, window: tuple[int, ...]) -> float:
+        """Similarity of block i and the window's texts joined by spaces."""
+        pattern = self._use(i)
+        row = self._row(i, window[0])
+        for j in window[1:]:
+            row = pattern.after(row, " " + self.many[j])
+        every = len(pattern.text) + self.length(window)
+        return round(2 * pattern.common(row) / every, 4) if every else 1.0
 
 
 def grown(pairs: list[Pair], free: set[int], texts: Texts, threshold: float) -> list[Group]:
@@ -147,7 +199,10 @@ def grown(pairs: list[Pair], free: set[int], texts: Texts, threshold: float) ->
                 if before + after == 0:
                     continue
                 window = tuple(range(partner - before, partner + after + 1))
-                s = texts.score(one, window, threshold)
+                least = max(threshold, score + MARGIN, best[2] if best else 0.0)
+                if texts.bound(one, window) < least:
+                    continue
+                s = texts.score(one, window)
                 if s >= threshold and s > score + MARGIN and (best is None or s > best[2]):
                     best = (one, window, s)
         if best:
@@ -165,12 +220,16 @@ def gathered(ones: list[int], free: set[int], texts: Texts, threshold: float) ->
             window: tuple[int, ...] = (start,)
             while len(window) < SPAN and window[-1] + 1 in free:
                 window = (*window, window[-1] + 1)
-                if best is not None and not S.may_reach(texts.one[one], " ".join(texts.many[j] for j in window), best[2]):
+                least = max(threshold, best[2] if best else 0.0)
+                # Bounds first: most windows can't be clearly better than their blocks alone.
+                bound = texts.bound(one, window)
+                if bound < least or bound < MARGIN + texts.single(one, start):
                     continue
-                s = texts.score(one, window, threshold)
-                if s < threshold or (best is not None and s <= best[2]):
+                least = max(least, MARGIN + max(texts.single(one, j) for j in window))
+                if bound < least or texts.finer_bound(one, window) < least or texts.row_bound(one, window) < least:
                     continue
-                if s > max(texts.score(one, (j,), 0.0) for j in window) + MARGIN:
+                s = texts.score(one, window)
+                if s >= threshold and (best is None or s > best[2]) and s > max(texts.single(one, j) for j in window) + MARGIN:
                     best = (one, window, s)
         if best:
             out.append(best)
@@ -197,7 +256,8 @@ def arrange(anchored: list[tuple[int, int]], pairs: list[Pair], a_texts: dict[in
     that no anchor holds."""
     limit = options.align_threshold
     free_a, free_b = set(a_texts) - {a for a, _, _ in pairs}, set(b_texts) - {b for _, b, _ in pairs}
-    forward, backward = Texts(a_texts, b_texts), Texts(b_texts, a_texts)
+    shared: dict[tuple[int, int], int] = {}
+    forward, backward = Texts(a_texts, b_texts, shared, False), Texts(b_texts, a_texts, shared, True)
     splits = grown(pairs, free_b, forward, limit)
     pairs = [p for p in pairs if p[0] not in {s[0] for s in splits}]
     merges = grown([(b, a, s) for a, b, s in pairs], free_a, backward, limit)

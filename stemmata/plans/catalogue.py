@@ -60,7 +60,7 @@ blocks AS (SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS block_inde
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY cand))"""
 PAIRS = LINES + """,
 dl AS (SELECT DISTINCT doc_id, text FROM blocks),
-rare AS (SELECT text FROM dl GROUP BY text HAVING count(*) BETWEEN 2 AND 10),
+rare AS (SELECT text FROM dl GROUP BY text HAVING count(*) > 1),
 sh AS (SELECT a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, count(*) AS shared FROM dl a JOIN rare USING (text) JOIN dl b ON a.text = b.text AND a.doc_id < b.doc_id GROUP BY ALL),
 pairs AS (SELECT 'cmp_' || a_doc_id || '_' || b_doc_id AS cmp_id, a_doc_id, b_doc_id, shared FROM sh QUALIFY row_number() OVER (PARTITION BY b_doc_id ORDER BY shared DESC, a_doc_id) = 1),
 rows AS (SELECT cmp_id, 'a' AS side, block_index, text FROM pairs JOIN blocks ON doc_id = a_doc_id UNION ALL SELECT cmp_id, 'b', block_index, text FROM pairs JOIN blocks ON doc_id = b_doc_id),
