@@ -12,11 +12,14 @@ Curriculum: a source's weight at training time t in [0, 1] runs linearly from RA
 scaled to the target, is the source's cumulative demand D(t); a copy whose first word is word c of the source's stream
 gets position D^-1(c), and copies are range-sorted by position.
 
-A source's prefix sums are split into buckets by md5 prefix, so a source with a third of all rows is no single task's:
-only the sums of (source, bucket) are summed in one window a source.
-
-Defined results: null texts have size 0; an empty table gives no row; ties in md5 (equal or null ids) are ordered by id,
-then by text hash, and identical rows take in any order with equal sizes; extra columns ride along untouched in `row`.
+Only keys and sizes go through the windows: (source, digest, id, text hash) is range-partitioned and written, so a source
+with a third of all rows lies in as many ranges as it needs; sums of (source, range) alone are summed in one window a
+source. Texts move twice at most, and only for training_order: to their positions by key, then by position.
+
+Defined results: null texts have size 0; a source without words has target 0 and gives nothing; an empty table gives no
+row; ties in md5 (equal or null ids) are ordered by id, then by text hash, and identical rows take in any order with
+equal sizes. In training_order, rows equal in id, text and source are one document taken as often as all of them, with
+the other columns of the least of them; extra columns ride along untouched in `row`.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import LAST, written
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Weight at the beginning and at the end of training, for the sources in turn: falling, level, rising.
 RAMPS = ((3.0, 1.0), (1.0, 1.0), (1.0, 3.0))
-ROWS_A_BUCKET = 5000
 
 
 def word_count(text: Column) -> Column:
@@ -62,37 +66,48 @@ def _position(part: Column, k: Column) -> Column:
     return out
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """row (all input columns) and the keys dk, tk and sk, never null."""
+    source = F.col("row.source").cast("string")
+    keys = [F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("dk"), F.xxhash64(F.col("row.text").cast("string")).alias("tk"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("sk")]
+    return documents.select(F.struct("*").alias("row")).select("row", *keys)
+
+
 def mix(documents: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
-    """row (all input columns), doc_id, size, source_size, target, taken, and copies: an array of (position, words),
-    one entry for each time that the mix takes the document; empty where it doesn't."""
-    rows = documents.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), word_count(F.col("row.text")).alias("size"), F.xxhash64("row.text").alias("tk"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    buckets = max(1, documents.count() // ROWS_A_BUCKET)
-    rows = rows.withColumn("digest", digest).withColumn("bucket", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * buckets / 2**32))
-    sized = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / 2**32))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    targets = source_targets(sums, share, most)
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    known = sums.withColumn("bucket_start", before).drop("size").withColumnRenamed("source", "s_source").withColumnRenamed("bucket", "s_bucket")
-    known = known.join(targets.withColumnRenamed("source", "t_source"), F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    inner = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "tk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("local", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(known, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")))
-    start, wanted = F.col("bucket_start") + F.col("local"), F.round("target").cast("long")
+    """doc_id, dk, tk, sk (keys), size, source_size, target, taken, and copies: an array of (position, words), one entry
+    for each time that the mix takes the document; empty where it doesn't."""
+    digest = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
+    rows = _keyed(documents).select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), "dk", "tk", "sk", word_count(F.col("row.text")).alias("size"), digest.alias("digest"))
+    # doc_id as it is, null first among equal digests: the order that the window below has.
+    rows = written(rows.repartitionByRange("sk", "digest", "doc_id", "tk").withColumn("part", F.spark_partition_id()), "mix-order")
+    sums = rows.groupBy("source", "sk", "part").agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("sk").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    targets = source_targets(sums, share, most).withColumnRenamed("source", "t_source")
+    known = sums.withColumn("part_start", before).drop("size").join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("source", "t_source")
+    known = known.withColumnRenamed("sk", "s_sk").withColumnRenamed("part", "s_part")
+    inner = Window.partitionBy("sk", "part").orderBy("digest", "doc_id", "tk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("local", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(known, (F.col("sk") == F.col("s_sk")) & (F.col("part") == F.col("s_part")))
+    start, wanted = F.col("part_start") + F.col("local"), F.round("target").cast("long")
     copies = []
     for i in range(most):
         c = start + F.col("source_size") * i
         words = F.greatest(F.lit(0), F.least(F.col("size"), wanted - c)).cast("long")
-        copies.append(F.struct(_position(c.cast("double") / wanted.cast("double"), F.col("k")).alias("position"), words.alias("words")))
+        copies.append(F.struct(_position(F.try_divide(c.cast("double"), wanted.cast("double")), F.col("k")).alias("position"), words.alias("words")))
     placed = placed.withColumn("copies", F.filter(F.array(*copies), lambda x: x["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return placed.select("row", "doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return placed.select("doc_id", "dk", "tk", "sk", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
+def training_order(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """One row for each copy, range-sorted by position: row, copy (from 0), position, words."""
-    copies = mixed.select("row", "doc_id", F.posexplode("copies").alias("copy", "taken_copy"))
-    return copies.select("row", "doc_id", "copy", F.col("taken_copy.position").alias("position"), F.col("taken_copy.words").alias("words")).orderBy("position", "doc_id", "copy")
+    keys = ["dk", "tk", "sk"]
+    places = mixed.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("copies"))).alias("copies")).filter(F.size("copies") > 0)
+    met = _keyed(documents).join(places, keys)
+    # Rows equal in all keys: the copies of all of them are the first's. The join has dealt them by these keys already.
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    met = met.withColumn("nth", first).filter("nth = 1")
+    copies = met.select("row", "dk", "tk", F.posexplode("copies").alias("copy", "taken_copy"))
+    return copies.select("row", "copy", F.col("taken_copy.position").alias("position"), F.col("taken_copy.words").alias("words"), "dk", "tk").orderBy("position", "dk", "tk", "copy").drop("dk", "tk")
 
 
 def first_words(text: Column, words: Column) -> Column:
