@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The patterns of lines, and below in `plain` those of inline marks.
 ATX = "^#{1,6}[ \\t]+(.+?)[ \\t#]*$"
 UNDERLINE = "^[ \\t]*(=+|-+)[ \\t]*$"
 QUOTE = "^[ \\t]*>[ \\t]?(.*)$"
