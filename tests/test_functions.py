@@ -5,7 +5,6 @@ from hypothesis import strategies as st
 from stemmata.functions.similarity import ratio, similarity
 from stemmata.functions.worddiff import DELETE, EQUAL, INSERT, DiffOptions, diff_texts, distributed, for_readers, shortest_script, tokenize, words_in
 from stemmata.operators.alignment import arrange, longest_increasing
-from stemmata.operators.hyphens import repair
 
 TEXT = st.text(alphabet="ab c\n.A", max_size=60)
 
@@ -92,12 +91,3 @@ def test_split_and_merge():
 def test_unrelated_blocks_are_inserted_then_deleted():
     rows = arrange([], [], {0: "aaaa bbbb"}, {0: "xxxx yyyy"}, DiffOptions())
     assert [r["relation"] for r in rows] == ["INSERTED", "DELETED"]
-
-
-def test_hyphens():
-    assert repair("unfor-\ntunate", set(), set()) == ("unfortunate", 1, ["DEFAULT"])
-    assert repair("self-\nevident", set(), set())[0] == "self-evident"
-    assert repair("mother-\nin-law", set(), set())[0] == "mother-in-law"
-    assert repair("life-\nlike", {"life-like"}, set())[0] == "life-like"
-    assert repair("re-\nturn", set(), {"return"})[0] == "return"
-    assert repair("19-\n20 and Anglo-\nSaxon —\nstill", set(), set())[0] == "19-20 and Anglo-Saxon —still"
