@@ -26,17 +26,14 @@ def _reading(witness: str, text: Column) -> Column:
 
 def content(tokens: Column) -> Column:
     """Unchanged runs as text; each longest stretch of changes as one <app> with both readings, empty ones too."""
-    run = "struct<same:boolean,a:string,b:string>"
-
-    def step(runs: Column, t: Column) -> Column:
-        same = t["status"] == "UNCHANGED"
-        piece = F.struct(same.alias("same"), F.when(t["status"] != "INSERTION", t["text"]).otherwise("").alias("a"), F.when(t["status"] != "DELETION", t["text"]).otherwise("").alias("b"))
-        last = F.element_at(runs, -1)
-        joined = F.struct(same.alias("same"), F.concat(last["a"], piece["a"]).alias("a"), F.concat(last["b"], piece["b"]).alias("b"))
-        grows = (F.size(runs) > 0) & F.coalesce(F.try_element_at(runs, F.lit(-1))["same"] == same, F.lit(False))
-        return F.when(grows, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(runs, F.array(piece)))
-
-    runs = F.aggregate(tokens, F.array().cast(f"array<{run}>"), lambda r, t: step(r, t).cast(f"array<{run}>"))
+    # A run starts where sameness changes; its end is where the next one starts. No run is built token by token.
+    same = lambda t: t["status"] == "UNCHANGED"
+    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | (same(F.get(tokens, i)) != same(F.get(tokens, i - 1))))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(tokens)))
+    text = lambda part, gone: F.array_join(F.transform(F.filter(part, lambda t: t["status"] != gone), lambda t: t["text"]), "")
+    parts = F.zip_with(starts, ends, lambda i, j: F.slice(tokens, i + 1, j - i))
+    runs = F.when(F.size(tokens) > 0, F.transform(parts, lambda p: F.struct(same(F.get(p, F.lit(0))).alias("same"), text(p, "INSERTION").alias("a"), text(p, "DELETION").alias("b"))))
+    runs = F.coalesce(runs, F.array().cast("array<struct<same:boolean,a:string,b:string>>"))
     app = lambda r: F.concat(F.lit("<app>"), _reading("A", r["a"]), _reading("B", r["b"]), F.lit("</app>"))
     return F.array_join(F.transform(runs, lambda r: F.when(r["same"], escaped(r["a"])).otherwise(app(r))), "")
 
@@ -52,7 +49,7 @@ def elements(blocks: DataFrame) -> DataFrame:
     return rows.select("cmp_id", "seq", F.when(verse, F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order)).alias("lg"), "opens", xml.alias("xml"), "status", F.coalesce("group_id", F.format_string("dbk_%04d", "seq")).alias("key"))
 
 
-def export(blocks: DataFrame, metrics: DataFrame, titles: DataFrame) -> DataFrame:
+def export(blocks: DataFrame, metrics: DataFrame, titles: DataFrame, granularity: str = "WORD") -> DataFrame:
     """cmp_id, tei. titles: cmp_id, a_title, b_title, a_format, b_format. Refuses windowed results."""
     if "truncated" in blocks.columns and not blocks.filter("truncated").isEmpty():
         raise ValueError("a windowed comparison can't be exported: blocks are missing")
@@ -72,16 +69,17 @@ def export(blocks: DataFrame, metrics: DataFrame, titles: DataFrame) -> DataFram
     group = F.concat(F.lit('\n      <linkGrp type="'), name, F.lit('">'), F.array_join(F.transform("links", lambda x: x["link"]), ""), F.lit("\n      </linkGrp>"))
     back = groups.groupBy("cmp_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), group.alias("group")))).alias("groups"))
     back = back.select("cmp_id", F.concat(F.lit("\n    <back>"), F.array_join(F.transform("groups", lambda x: x["group"]), ""), F.lit("\n    </back>")).alias("back"))
-    many = lambda n, noun: F.concat(F.col(n).cast("string"), F.when(F.col(n) == 1, f" {noun}").otherwise(f" {noun}s"))
+    unit = {"WORD": "words", "CHARACTER": "characters"}[granularity]
+    figure = lambda label, column: F.concat(F.lit(f", {label} "), F.col(column).cast("string"))
     prose = F.concat(
-        F.lit("Collated automatically by words. Similarity "), F.format_number("similarity", 3), F.lit("; "), many("insertions", "word"), F.lit(" inserted, "), many("deletions", "word"), F.lit(" deleted, "),
-        many("unchanged_tokens", "word"), F.lit(" unchanged. "), many("blocks_moved", "block"), F.lit(" moved, "), many("blocks_split", "block"), F.lit(" split, "), many("blocks_merged", "block"), F.lit(" merged."),
+        F.lit(f"Compared by {unit}; likeness "), F.format_number("similarity", 3), figure("words added", "insertions"), figure("words taken out", "deletions"), figure("words kept", "unchanged_tokens"),
+        figure("blocks moved", "blocks_moved"), figure("blocks split", "blocks_split"), figure("blocks merged", "blocks_merged"), F.lit("."),
     )
     witness = lambda w, s: F.concat(F.lit(f'<witness xml:id="{w}">'), escaped(F.concat(F.col(f"{s}_title"), F.lit(" ("), F.col(f"{s}_format"), F.lit(")"))), F.lit("</witness>"))
     all_rows = titles.join(metrics, "cmp_id").join(body, "cmp_id", "left").join(back, "cmp_id", "left")
     tei = F.concat(
-        F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="{NAMESPACE}">\n  <teiHeader>\n    <fileDesc>\n      <titleStmt>\n        <title>Collation of '), escaped(F.col("a_title")), F.lit(" and "), escaped(F.col("b_title")),
-        F.lit("</title>\n      </titleStmt>\n      <publicationStmt>\n        <p>A machine collation of two witnesses in the order given; not an edition.</p>\n      </publicationStmt>\n      <sourceDesc>\n        <listWit>\n          "),
+        F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="{NAMESPACE}">\n  <teiHeader>\n    <fileDesc>\n      <titleStmt>\n        <title>Parallel text: '), escaped(F.col("a_title")), F.lit(" and "), escaped(F.col("b_title")),
+        F.lit("</title>\n      </titleStmt>\n      <publicationStmt>\n        <p>Computed from two texts; neither is taken as the base.</p>\n      </publicationStmt>\n      <sourceDesc>\n        <listWit>\n          "),
         witness("A", "a"), F.lit("\n          "), witness("B", "b"),
         F.lit('\n        </listWit>\n      </sourceDesc>\n    </fileDesc>\n    <encodingDesc>\n      <variantEncoding method="parallel-segmentation" location="internal" />\n      <p>'), prose,
         F.lit("</p>\n    </encodingDesc>\n  </teiHeader>\n  <text>\n    <body>"), F.coalesce("body", F.lit("")), F.lit("\n    </body>"), F.coalesce("back", F.lit("")), F.lit("\n  </text>\n</TEI>\n"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 PAGE, PAGE_MOST = 200, 500
 WINDOW_BLOCKS, WINDOW_BYTES = 2500, 12 * 1024 * 1024
-EXCERPT, SHOWN = 110, 12
+EXCERPT, SHOWN, RELATIONS = 110, 12, 5
+STRUCTURAL = ("MOVED", "SPLIT", "MERGED")
 
 
 def changed_blocks(blocks: DataFrame) -> DataFrame:
@@ -16,21 +17,34 @@ def changed_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.filter("status <> 'UNCHANGED'").select("cmp_id", F.row_number().over(order).alias("change"), "seq", "status")
 
 
-def structural_relationships(blocks: DataFrame) -> DataFrame:
-    """Moves, splits and merges: cmp_id, status, key, a_positions, b_positions (from 1), members (seq)."""
+def structural_relationships(blocks: DataFrame, most: int = RELATIONS) -> DataFrame:
+    """Moves, splits and merges in the order of their first block: cmp_id, status, key, a_positions, b_positions (from 1),
+    members (seq), sentence, and shown (among the first `most` of its comparison)."""
     key = F.coalesce("group_id", F.format_string("dbk_%04d", "seq"))
     places = lambda c: F.array_sort(F.collect_set(F.col(c) + 1))
-    rows = blocks.filter(F.col("status").isin("MOVED", "SPLIT", "MERGED")).groupBy("cmp_id", "status", key.alias("key"))
-    return rows.agg(places("a_index").alias("a_positions"), places("b_index").alias("b_positions"), F.array_sort(F.collect_list("seq")).alias("members"))
+    rows = blocks.filter(F.col("status").isin(*STRUCTURAL)).groupBy("cmp_id", "status", key.alias("key"))
+    found = rows.agg(places("a_index").alias("a_positions"), places("b_index").alias("b_positions"), F.array_sort(F.collect_list("seq")).alias("members"))
+    found = found.filter((F.size("a_positions") > 0) & (F.size("b_positions") > 0))
+    listed = lambda side, c: F.concat(F.lit(f"{side} "), F.array_join(F.col(c).cast("array<string>"), ", "))
+    verb = F.when(F.col("status") == "MOVED", " now stands at ").when(F.col("status") == "SPLIT", " was split into ").otherwise(" were merged into ")
+    rank = F.row_number().over(Window.partitionBy("cmp_id").orderBy(F.col("members")[0]))
+    return found.withColumn("sentence", F.concat(listed("A", "a_positions"), verb, listed("B", "b_positions"))).withColumn("shown", rank <= most)
 
 
-def source_order(blocks: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """Each side's first `shown` blocks in its own order: cmp_id, side, block_index, structural, excerpt."""
-    side = lambda s: blocks.filter(F.col(f"{s}_index").isNotNull()).select("cmp_id", "seq", F.lit(s).alias("side"), F.col(f"{s}_index").alias("block_index"), "status", F.array_join(F.transform(f"{s}_tokens", lambda t: t["text"]), "").alias("text"))
-    rows = side("a").unionByName(side("b")).filter(F.col("block_index") < shown)
-    joined = rows.groupBy("cmp_id", "side", "block_index").agg(F.max(F.col("status").isin("MOVED", "SPLIT", "MERGED")).alias("structural"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
-    text = F.trim(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), ""), "(?U)\\s+", " "))
-    return joined.select("cmp_id", "side", "block_index", "structural", F.when(F.length(text) > EXCERPT, F.concat(F.rtrim(F.substring(text, 1, EXCERPT - 1)), F.lit("…"))).otherwise(text).alias("excerpt"))
+def source_order(blocks: DataFrame, most: int = SHOWN) -> DataFrame:
+    """Each side's blocks in its own order: cmp_id, side, block_index, structural, others (places on the other side, from
+    1), excerpt. A side of more than `most` blocks shows its first `most` moved, split and merged ones alone."""
+    other = {"a": "b", "b": "a"}
+    text = lambda s: F.array_join(F.transform(f"{s}_tokens", lambda t: t["text"]), "")
+    side = lambda s: blocks.filter(F.col(f"{s}_index").isNotNull()).select("cmp_id", "seq", F.lit(s).alias("side"), F.col(f"{s}_index").alias("block_index"), F.col(f"{other[s]}_index").alias("other"), "status", text(s).alias("text"))
+    rows = side("a").unionByName(side("b"))
+    joined = rows.groupBy("cmp_id", "side", "block_index").agg(F.max(F.col("status").isin(*STRUCTURAL)).alias("structural"), F.array_sort(F.collect_set(F.col("other") + 1)).alias("others"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
+    own = Window.partitionBy("cmp_id", "side")
+    rank = F.row_number().over(own.orderBy(~F.col("structural"), "block_index"))
+    joined = joined.withColumn("n", F.count("*").over(own)).withColumn("rank", rank).filter((F.col("n") <= most) | (F.col("structural") & (F.col("rank") <= most)))
+    whole = F.trim(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), ""), "(?U)\\s+", " "))
+    excerpt = F.when(F.length(whole) > EXCERPT, F.concat(F.rtrim(F.substring(whole, 1, EXCERPT - 1)), F.lit("…"))).otherwise(whole)
+    return joined.select("cmp_id", "side", "block_index", "structural", "others", excerpt.alias("excerpt"))
 
 
 def shown_percent(similarity: Column, edit_count: Column) -> Column:

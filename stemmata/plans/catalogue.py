@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,16 +45,22 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.build_blocks(B.line_candidates(documents(spark, sf_dir)))
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs that admission lets through, and the blocks of both their sides. Refused ones reach no kernel."""
+    blocks = written(line_blocks(spark, sf_dir), "blocks")
+    pairs = P.sharing_pairs(blocks)
+    pairs = pairs.join(store.route(pairs, B.metadata(blocks)).filter("route <> 'REFUSED'").select("cmp_id"), "cmp_id", "left_semi")
+    return pairs, written(alignment.sides(pairs, blocks), "sides")
+
+
 def _collated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs, sides and difference blocks of the tables' near copies."""
-    blocks = line_blocks(spark, sf_dir)
-    pairs = P.sharing_pairs(blocks)
-    rows = written(alignment.sides(pairs, blocks), "sides")
+    pairs, rows = _sides(spark, sf_dir)
     return pairs, rows, written(collation.diff_blocks(rows, alignment.align(rows)), "diff-blocks")
 
 
 LINES = """
-lines AS (SELECT doc_id, cand, trim(line, ' ') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS cand FROM documents) WHERE trim(line, ' ') <> ''),
+lines AS (SELECT doc_id, cand, trim(line, ' ') AS text FROM (SELECT doc_id, unnest(string_split(nfc_normalize(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS cand FROM documents) WHERE trim(line, ' ') <> ''),
 blocks AS (SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS block_index, text,
   CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY cand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS char_start
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY cand))"""
@@ -63,8 +69,20 @@ dl AS (SELECT DISTINCT doc_id, text FROM blocks),
 rare AS (SELECT text FROM dl GROUP BY text HAVING count(*) > 1),
 sh AS (SELECT a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, count(*) AS shared FROM dl a JOIN rare USING (text) JOIN dl b ON a.text = b.text AND a.doc_id < b.doc_id GROUP BY ALL),
 pairs AS (SELECT 'cmp_' || a_doc_id || '_' || b_doc_id AS cmp_id, a_doc_id, b_doc_id, shared FROM sh QUALIFY row_number() OVER (PARTITION BY b_doc_id ORDER BY shared DESC, a_doc_id) = 1),
-rows AS (SELECT cmp_id, 'a' AS side, block_index, text FROM pairs JOIN blocks ON doc_id = a_doc_id UNION ALL SELECT cmp_id, 'b', block_index, text FROM pairs JOIN blocks ON doc_id = b_doc_id),
+size AS (SELECT doc_id, count(*) AS n, sum(len(regexp_extract_all(text, '\\S+'))) AS w FROM blocks GROUP BY doc_id),
+admitted AS (SELECT pairs.* FROM pairs JOIN size x ON x.doc_id = a_doc_id JOIN size y ON y.doc_id = b_doc_id WHERE x.n + y.n <= 12000 AND x.w + y.w <= 700000),
+rows AS (SELECT cmp_id, 'a' AS side, block_index, text FROM admitted JOIN blocks ON doc_id = a_doc_id UNION ALL SELECT cmp_id, 'b', block_index, text FROM admitted JOIN blocks ON doc_id = b_doc_id),
 anchors AS (SELECT cmp_id, max(block_index) FILTER (side = 'a') AS a_index, max(block_index) FILTER (side = 'b') AS b_index FROM rows GROUP BY cmp_id, text HAVING count(*) FILTER (side = 'a') = 1 AND count(*) FILTER (side = 'b') = 1)"""
+# Parts between blank lines of `c` (doc_id, cand, text), verse as lines: r (doc_id, cand, part, line, text, verse).
+VERSE = """
+p AS (SELECT doc_id, cand, generate_subscripts(a, 1) AS part, unnest(a) AS t FROM (SELECT doc_id, cand, list_filter(list_transform(string_split_regex(text, '\\n[ \\t]*\\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS a FROM c)),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS ls FROM p),
+m AS (SELECT *, len(ls) AS k, list_transform(ls, lambda x: length(x)) AS n, list_sort(list_transform(ls, lambda x: length(x))) AS o, list_sort(list_transform(ls, lambda x: len(regexp_extract_all(x, '\\S+')))) AS w FROM l),
+d AS (SELECT *, (o[k // 2 + 1] + o[(k - 1) // 2 + 1]) / 2.0 AS med FROM m),
+v AS (SELECT *, coalesce(k >= 3 AND med > 0 AND med <= 45 AND len(list_filter(n[1:k - 1], lambda x: x < med * 0.55)) = 0 AND list_max(n) - list_min(n) < med * 0.6 AND w[k // 2 + 1] >= 3, false) AS verse FROM d),
+r AS (SELECT doc_id, cand, part, verse, unnest(CASE WHEN verse THEN range(1, k + 1) ELSE [1::BIGINT] END) AS line, unnest(CASE WHEN verse THEN list_transform(ls, lambda x: trim(x)) ELSE [t] END) AS text FROM v)"""
+FOLDED = "replace(replace(replace(replace(%s, 'œ', 'oe'), 'æ', 'ae'), 'Œ', 'OE'), 'Æ', 'AE')"
+TIDY = "trim(regexp_replace(regexp_replace(" + FOLDED + ", '[ \\t]+', ' ', 'g'), ' \\n', chr(10), 'g'), ' ' || chr(9) || chr(10))"
 WORDS = "len(regexp_extract_all(text, '\\S+'))"
 
 
@@ -122,7 +140,7 @@ def verse_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.looks_like_verse(text).alias("verse"))
 
 
-@query()
+@query("WITH c AS (SELECT doc_id, 0 AS cand, " + TIDY % "regexp_replace(text, '((?:\\S+\\s+){4}\\S+)\\s', '\\1' || chr(10), 'g')" + f" AS text FROM documents), {VERSE} SELECT doc_id, CASE WHEN verse THEN 'VERSE_LINE' ELSE 'PARAGRAPH' END AS kind, count(*) AS n, count(*) FILTER (verse AND line = 1) AS stanzas FROM r GROUP BY ALL")
 def verse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", "((?:\\S+\\s+){4}\\S+)\\s", "$1\n")
     return B.build_blocks(B.text_candidates(documents(spark, sf_dir).withColumn("text", text))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("starts_stanza").alias("stanzas"))
@@ -143,22 +161,19 @@ def witness_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT cmp_id, a_index, b_index FROM anchors")
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = line_blocks(spark, sf_dir)
-    return alignment.anchors(alignment.sides(P.sharing_pairs(blocks), blocks))
+    return alignment.anchors(_sides(spark, sf_dir)[1])
 
 
 @query(f"WITH {PAIRS} SELECT cmp_id, side, block_index FROM rows ANTI JOIN (SELECT cmp_id, 'a' AS side, a_index AS block_index FROM anchors UNION ALL SELECT cmp_id, 'b', b_index FROM anchors) USING (cmp_id, side, block_index)")
 def unmatched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = line_blocks(spark, sf_dir)
-    rows = alignment.sides(P.sharing_pairs(blocks), blocks)
+    _, rows = _sides(spark, sf_dir)
     return alignment.gaps(rows, alignment.anchors(rows)).select("cmp_id", "side", "block_index")
 
 
 @query()
 def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = line_blocks(spark, sf_dir)
-    rows = alignment.sides(P.sharing_pairs(blocks), blocks)
-    return alignment.scored(alignment.gaps(rows, alignment.anchors(rows)))
+    _, rows = _sides(spark, sf_dir)
+    return alignment.scored(alignment.gaps(rows, written(alignment.anchors(rows), "anchors")))
 
 
 @query()
@@ -166,18 +181,24 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.assigned(gap_candidates(spark, sf_dir))
 
 
-@query()
+# A longest common subsequence is a longest increasing one of the places in b that match, by place in a, then backwards.
+@query("""WITH t AS (SELECT item_id, text, coalesce(lead(text) OVER (ORDER BY item_id), (SELECT min_by(text, item_id) FROM benchmark)) AS later FROM benchmark),
+a AS (SELECT item_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM t WHERE text <> ''),
+b AS (SELECT item_id, unnest(string_split(later, '')) AS c, generate_subscripts(string_split(later, ''), 1) AS j FROM t WHERE later <> ''),
+m AS (SELECT item_id, list([j] ORDER BY i, j DESC) AS js FROM a JOIN b USING (item_id, c) GROUP BY item_id),
+s AS (SELECT item_id, len(list_reduce(js, lambda ends, x: ends[1:len(list_filter(ends, lambda e: e < x[1]))] || x || ends[len(list_filter(ends, lambda e: e < x[1])) + 2:])) AS lcs FROM m)
+SELECT item_id, CASE WHEN text = '' AND later = '' THEN 1.0::DOUBLE ELSE 2 * coalesce(lcs, 0)::DOUBLE / (length(text) + length(later)) END AS score FROM t LEFT JOIN s USING (item_id)""")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages against themselves from a third on."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    later = F.expr("substring(text, cast(length(text) / 3 as int) + 1)")
-    return items.select("item_id", similarity_ratio(F.col("text"), later).alias("score"))
+    """Each benchmark passage against the next one, and the last against the first."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    ordered, whole = Window.orderBy("item_id"), Window.partitionBy(F.lit(1))
+    later = F.coalesce(F.lead("text").over(ordered), F.min_by("text", "item_id").over(whole))
+    return items.withColumn("later", later).select("item_id", similarity_ratio(F.col("text"), F.col("later")).alias("score"))
 
 
 @query()
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = line_blocks(spark, sf_dir)
-    return alignment.align(alignment.sides(P.sharing_pairs(blocks), blocks))
+    return alignment.align(_sides(spark, sf_dir)[1])
 
 
 @query()
@@ -224,17 +245,20 @@ def structural_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.structural_relationships(_collated(spark, sf_dir)[2])
 
 
-@query(f"""WITH {PAIRS} SELECT cmp_id, side, block_index, CASE WHEN length(t) > 110 THEN rtrim(substr(t, 1, 109)) || '…' ELSE t END AS excerpt
-FROM (SELECT cmp_id, side, block_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM rows WHERE block_index < 12)""")
+@query(f"""WITH {PAIRS}, n AS (SELECT cmp_id, side, count(*) AS n FROM rows GROUP BY ALL)
+SELECT cmp_id, side, block_index, CASE WHEN length(t) > 110 THEN rtrim(substr(t, 1, 109)) || '…' ELSE t END AS excerpt
+FROM (SELECT cmp_id, side, block_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM rows JOIN n USING (cmp_id, side) WHERE n <= 12)""")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can express of source_structure: the excerpts."""
-    return source_structure(spark, sf_dir).drop("structural")
+    """What SQL can express of source_structure: the excerpts of sides shown whole."""
+    _, rows, blocks = _collated(spark, sf_dir)
+    whole = rows.groupBy("cmp_id", "side").agg(F.count("*").alias("n")).filter(F.col("n") <= views.SHOWN).select("cmp_id", "side")
+    return views.source_order(blocks).join(whole, ["cmp_id", "side"], "left_semi").select("cmp_id", "side", "block_index", "excerpt")
 
 
 @query()
 def source_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each side's first blocks in its own order, gathered over splits and merges, with the flag of moved, split and merged
-    ones."""
+    """Each side's shown blocks in its own order, gathered over splits and merges, with the flag of moved, split and merged
+    ones; of long sides those alone."""
     return views.source_order(_collated(spark, sf_dir)[2])
 
 
@@ -290,14 +314,25 @@ def pdf_line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_lines.candidates(lines).select("doc_id", "cand", "text")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\n(\w+) ', chr(10) || '> *\1* ', 'g'), '\. ', '.' || chr(10) || '- ', 'g') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM t),
+k AS (SELECT *, CASE WHEN trim(line) = '' THEN 'BLANK' WHEN regexp_matches(line, '^#{1,6}[ \t]+.+?[ \t#]*$') THEN 'HEADING' WHEN regexp_matches(line, '^[ \t]*>') THEN 'QUOTE' WHEN regexp_matches(line, '^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+.+$') THEN 'LIST_ITEM' ELSE 'PARAGRAPH' END AS kind FROM l),
+b AS (SELECT *, trim(CASE kind WHEN 'HEADING' THEN regexp_extract(line, '^#{1,6}[ \t]+(.+?)[ \t#]*$', 1) WHEN 'QUOTE' THEN regexp_extract(line, '^[ \t]*>[ \t]?(.*)$', 1) WHEN 'LIST_ITEM' THEN regexp_extract(line, '^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+(.+)$', 1) ELSE line END) AS body,
+  kind = 'PARAGRAPH' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY n) = 'PARAGRAPH', false) AS grows FROM k),
+g AS (SELECT *, sum(CASE WHEN grows THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM b),
+j AS (SELECT doc_id, any_value(kind) AS kind, string_agg(body, chr(10) ORDER BY n) AS raw FROM g WHERE kind <> 'BLANK' GROUP BY doc_id, block),
+s AS (SELECT doc_id, kind, regexp_replace(regexp_replace(raw, '\*\*(.+?)\*\*', '\1', 'g'), '(^|[^*])\*([^*\n]+)\*', '\1\2', 'g') AS text FROM j UNION ALL SELECT doc_id, 'HEADING', 'Title' FROM documents)
+SELECT doc_id, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY ALL""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with headings, quotes, lists and emphasis put in."""
     text = F.concat(F.lit("# Title\n\n"), F.regexp_replace(F.regexp_replace("text", "\n(\\w+) ", "\n> *$1* "), "\\. ", ".\n- "))
     return markdown.candidates(documents(spark, sf_dir).withColumn("text", text)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query("WITH c AS (SELECT conv_id AS doc_id, turn AS cand, " + TIDY % "text" + f""" AS text FROM conversations), {VERSE}
+SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS block_index, format('blk_a_{{:04d}}', row_number() OVER w - 1) AS block_id, CASE WHEN verse THEN 'VERSE_LINE' ELSE 'PARAGRAPH' END AS kind, text, CAST(NULL AS VARCHAR) AS style, CAST(NULL AS INTEGER) AS page,
+CAST(coalesce(sum(length(text) + 2) OVER b, 0) AS INTEGER) AS char_start, CAST(coalesce(sum(length(text) + 2) OVER b, 0) + length(text) AS INTEGER) AS char_end, verse AND line = 1 AS starts_stanza
+FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY cand, part, line), b AS (PARTITION BY doc_id ORDER BY cand, part, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as candidates: the second corpus."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
