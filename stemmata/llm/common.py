@@ -142,7 +142,8 @@ def sizes(docs: DataFrame) -> tuple[int, int]:
 
 def with_offsets(rows: DataFrame, part: str, amount: str) -> DataFrame:
     """Second pass of a prefix sum: adds `before`, the sum of `amount` over all partitions before the row's, in the order
-    of their names. Only one row a partition is ordered in one task; Catalyst broadcasts these rows if they are few."""
+    of their names. Only one row a partition is ordered in one task; written, so that Catalyst knows their size and
+    broadcasts them if they are few, before the other side would be dealt."""
     ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(part).agg(F.sum(amount).alias("n")).select(F.col(part).alias("o_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("before"))
-    return rows.join(sums, F.col(part) == F.col("o_part")).drop("o_part")
+    return rows.join(written(sums, "offsets"), F.col(part) == F.col("o_part")).drop("o_part")
