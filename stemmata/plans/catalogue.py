@@ -16,6 +16,7 @@ from ..functions.similarity import similarity_ratio
 from ..operators import alignment, collation, store, tei, views
 from ..operators import blocks as B
 from ..sources import markdown, pdf_lines
+from . import alignment_sql as Q
 from . import pairs as P
 from .tables import written
 
@@ -170,13 +171,13 @@ def unmatched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.gaps(rows, alignment.anchors(rows)).select("cmp_id", "side", "block_index")
 
 
-@query()
+@query(f"WITH {PAIRS}, {Q.CANDIDATES} SELECT cmp_id, gap, i AS a_index, j AS b_index, score FROM scored")
 def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = _sides(spark, sf_dir)
     return alignment.scored(alignment.gaps(rows, written(alignment.anchors(rows), "anchors")))
 
 
-@query()
+@query(f"WITH {PAIRS}, {Q.CANDIDATES} SELECT cmp_id, i AS a_index, j AS b_index, score FROM paired")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.assigned(gap_candidates(spark, sf_dir))
 
@@ -196,9 +197,12 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.withColumn("later", later).select("item_id", similarity_ratio(F.col("text"), F.col("later")).alias("score"))
 
 
-@query()
+@query(f"""WITH {PAIRS}, {Q.ALIGNED}
+SELECT cmp_id, position, relation, array_to_string(xs, ',') AS a_indices, array_to_string(ys, ',') AS b_indices, similarity, move_distance FROM aligned""")
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align(_sides(spark, sf_dir)[1])
+    found = alignment.align(_sides(spark, sf_dir)[1])
+    numbers = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("cmp_id", "position", "relation", numbers("a_indices"), numbers("b_indices"), "similarity", "move_distance")
 
 
 @query()
@@ -206,6 +210,13 @@ def diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collated(spark, sf_dir)[2]
 
 
+@query(f"""WITH {PAIRS}, {Q.LISTED}
+SELECT cmp_id, seq, format('dbk_{{:04d}}', seq) AS block_id, status, 'PARAGRAPH' AS kind, i AS a_index, j AS b_index, format('blk_a_{{:04d}}', i) AS a_block_id, format('blk_a_{{:04d}}', j) AS b_block_id, move_distance, CASE WHEN key LIKE 'grp%' THEN key END AS group_id FROM listed""")
+def block_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference blocks without their tokens and what is counted from these."""
+    return _collated(spark, sf_dir)[2].select("cmp_id", "seq", "block_id", "status", "kind", "a_index", "b_index", "a_block_id", "b_block_id", "move_distance", "group_id")
+
+
 @query("SELECT CAST(NULL AS VARCHAR) AS cmp_id, CAST(NULL AS INTEGER) AS seq, CAST(NULL AS VARCHAR) AS rule WHERE false")
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows, blocks = _collated(spark, sf_dir)
@@ -235,14 +246,19 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(lines, "cmp_id").filter("n = unchanged_blocks AND k = n").select("cmp_id", "unchanged_blocks", "unchanged_words")
 
 
-@query()
+@query(f"WITH {PAIRS}, {Q.LISTED} SELECT cmp_id, CAST(row_number() OVER (PARTITION BY cmp_id ORDER BY seq) AS INTEGER) AS change, seq, status FROM listed WHERE status <> 'UNCHANGED'")
 def changed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.changed_blocks(_collated(spark, sf_dir)[2])
 
 
-@query()
+@query(f"""WITH {PAIRS}, {Q.LISTED}, g AS (SELECT cmp_id, status, key, list_sort(list(DISTINCT i + 1)) AS a, list_sort(list(DISTINCT j + 1)) AS b, list_sort(list(seq)) AS m FROM listed WHERE status IN ('MOVED', 'SPLIT', 'MERGED') GROUP BY ALL)
+SELECT cmp_id, status, key, array_to_string(a, ', ') AS a_positions, array_to_string(b, ', ') AS b_positions, array_to_string(m, ', ') AS members,
+'A ' || array_to_string(a, ', ') || CASE status WHEN 'MOVED' THEN ' now stands at ' WHEN 'SPLIT' THEN ' was split into ' ELSE ' were merged into ' END || 'B ' || array_to_string(b, ', ') AS sentence,
+row_number() OVER (PARTITION BY cmp_id ORDER BY m[1]) <= 5 AS shown FROM g""")
 def structural_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.structural_relationships(_collated(spark, sf_dir)[2])
+    found = views.structural_relationships(_collated(spark, sf_dir)[2])
+    numbers = lambda c: F.array_join(F.col(c).cast("array<string>"), ", ").alias(c)
+    return found.select("cmp_id", "status", "key", numbers("a_positions"), numbers("b_positions"), numbers("members"), "sentence", "shown")
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT cmp_id, side, count(*) AS n FROM rows GROUP BY ALL)
@@ -255,11 +271,16 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.source_order(blocks).join(whole, ["cmp_id", "side"], "left_semi").select("cmp_id", "side", "block_index", "excerpt")
 
 
-@query()
+@query(f"""WITH {PAIRS}, {Q.LISTED},
+o AS (SELECT cmp_id, 'a' AS side, i AS block_index, j AS other, status FROM listed WHERE i IS NOT NULL UNION ALL SELECT cmp_id, 'b', j, i, status FROM listed WHERE j IS NOT NULL),
+g AS (SELECT cmp_id, side, block_index, bool_or(status IN ('MOVED', 'SPLIT', 'MERGED')) AS structural, list_sort(list(DISTINCT other + 1) FILTER (other IS NOT NULL)) AS others FROM o GROUP BY ALL),
+n AS (SELECT *, count(*) OVER (PARTITION BY cmp_id, side) AS n, row_number() OVER (PARTITION BY cmp_id, side ORDER BY structural DESC, block_index) AS nth FROM g)
+SELECT cmp_id, side, block_index, structural, coalesce(array_to_string(others, ', '), '') AS others FROM n WHERE n <= 12 OR (structural AND nth <= 12)""")
 def source_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each side's shown blocks in its own order, gathered over splits and merges, with the flag of moved, split and merged
-    ones; of long sides those alone."""
-    return views.source_order(_collated(spark, sf_dir)[2])
+    ones and their places on the other side; of long sides those alone. Their excerpts are source_order's."""
+    found = views.source_order(_collated(spark, sf_dir)[2])
+    return found.select("cmp_id", "side", "block_index", "structural", F.array_join(F.col("others").cast("array<string>"), ", ").alias("others"))
 
 
 @query(f"WITH {LINES} SELECT 'doc_' || doc_id AS cmp_id, block_index + 1 AS seq, text FROM blocks WHERE block_index BETWEEN 2 AND 5")
@@ -268,7 +289,8 @@ def block_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.page(blocks, 2, 4)
 
 
-@query()
+# By the number of blocks alone: SQL has no tokens whose JSON it could measure.
+@query(f"WITH {PAIRS}, {Q.LISTED} SELECT cmp_id, CAST(CASE WHEN count(*) > 2500 THEN 200 ELSE count(*) END AS BIGINT) AS n, count(*) > 2500 AS truncated FROM listed GROUP BY cmp_id")
 def windowed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.windowed(_collated(spark, sf_dir)[2]).groupBy("cmp_id").agg(F.count("*").alias("n"), F.max("truncated").alias("truncated"))
 
