@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import similarity_ratio
-from ..operators import alignment, collation, store, tei, views
+from ..operators import alignment, collation, hyphens, store, tei, views
 from ..operators import blocks as B
 from ..sources import markdown, pdf_lines
 from . import alignment_sql as Q
@@ -147,7 +147,25 @@ def verse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.build_blocks(B.text_candidates(documents(spark, sf_dir).withColumn("text", text))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("starts_stanza").alias("stanzas"))
 
 
-@query()
+LETTER = "[\\p{L}\\p{M}\\p{Nd}_]"
+ANY_WORD = f"{LETTER}(?:{LETTER}|[''’])*"
+BREAK = f"({ANY_WORD})[-‐­]\\n({ANY_WORD})([-‐]?)"
+KEY = "replace(lower(%s), 'ß', 'ss')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TIDY % "regexp_replace(text, '([a-z]{4})([a-z]{5})', '\\1-' || chr(10) || '\\2', 'g')"} AS text FROM documents),
+e AS (SELECT *, regexp_extract_all({KEY % "text"}, '(?:{LETTER}|[''’])+') AS words, regexp_extract_all({KEY % "text"}, '{ANY_WORD}-{ANY_WORD}') AS compounds,
+  string_split_regex(text, '{BREAK}') AS pieces, regexp_extract_all(text, '{BREAK}', 1) AS f, regexp_extract_all(text, '{BREAK}', 2) AS g, regexp_extract_all(text, '{BREAK}', 3) AS h FROM t),
+d1 AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: NOT (list_contains(compounds, {KEY % "f[i] || '-' || g[i]"}) OR h[i] <> '') AND (list_contains(words, {KEY % "f[i] || g[i]"})
+  OR NOT (regexp_matches(f[i] || g[i], '\\p{{N}}') OR regexp_matches(g[i], '^\\p{{Lu}}') OR list_contains([{", ".join(f"'{p}'" for p in hyphens.PREFIXES)}], {KEY % "f[i]"})))) AS closed FROM e),
+w AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || CASE WHEN i > len(f) THEN '' ELSE f[i] || CASE WHEN closed[i] THEN '' ELSE '-' END || g[i] || h[i] END), ''), '([–—―−])\\n({LETTER})', '\\1\\2', 'g') AS text FROM d1),
+l1 AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM w),
+l2 AS (SELECT *, len(ls) AS k, list_transform(ls, lambda x: length(x)) AS n, list_sort(list_transform(ls, lambda x: length(x))) AS o FROM l1),
+l3 AS (SELECT *, (o[k // 2 + 1] + o[(k - 1) // 2 + 1]) / 2.0 AS med FROM l2),
+l4 AS (SELECT *, coalesce(k >= 3 AND med > 0 AND med <= 45 AND len(list_filter(n[1:k - 1], lambda x: x < med * 0.55)) = 0 AND list_max(n) - list_min(n) < med * 0.6, false) AS verse FROM l3),
+c AS (SELECT doc_id, 0 AS cand, {TIDY % ("CASE WHEN len(raw) < 2 OR verse THEN text ELSE array_to_string(list_reduce(list_transform(ls, lambda x: [trim(x)]), "
+  "lambda acc, x: CASE WHEN len(acc) = 0 OR (k >= 4 AND length(acc[-1]) < med * 0.55) THEN acc || x ELSE acc[1:-2] || [acc[-1] || ' ' || x[1]] END, CAST([] AS VARCHAR[])), chr(10)) END")} AS text FROM l4), {VERSE}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cand, part, line) - 1 AS INTEGER) AS block_index, CASE WHEN verse THEN 'VERSE_LINE' ELSE 'PARAGRAPH' END AS kind, text FROM r""")
 def dehyphenated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long words broken over lines, then closed up on the document's evidence and reflowed."""
     text = F.regexp_replace("text", "([a-z]{4})([a-z]{5})", "$1-\n$2")
