@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a local folder where it is unset, as in tests) and reads it back: several
-    readers cost one computation, and a lost executor costs nothing that was written."""
+    """Writes df under spark.checkpoint.dir and reads it back: several readers cost one computation, and a lost executor
+    costs nothing that was written. Where it is unset, a local folder serves, but only if driver and executors are one
+    process."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = (folder or "file:///tmp/checkpoints").rstrip("/")
     path = f"{folder}/stemmata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
