@@ -108,13 +108,10 @@ def signatures(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts:
             level = low + np.floor(_unit(mix(h + salt)) * size).astype(np.int64)
             inside = level < w[which]
             t, h, who = t[inside], h[inside], who[inside]
-            register = (h % np.uint64(registers)).astype(np.int64)
-            order = np.lexsort((t, register, who))
-            cell = who[order] * registers + register[order]
-            first = order[np.append(True, cell[1:] != cell[:-1])] if len(order) else order
-            better = t[first] < best[who[first], register[first]]
-            f = first[better]
-            best[who[f], register[f]], mark[who[f], register[f]] = t[f], h[f]
+            cell = who * registers + (h % np.uint64(registers)).astype(np.int64)
+            np.minimum.at(best.ravel(), cell, t)
+            least = t == best.ravel()[cell]
+            mark.ravel()[cell[least]] = h[least]
             low = low + size
             size = max(1, low)
             more = w > low
@@ -136,10 +133,10 @@ def _prepare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.diff(np.append(at, len(h))).astype(np.float64)
         sig = signatures(h[at], weights, owner[at], n)
         ends = np.cumsum(sizes)
-        hi, lo = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        for i, (a, z) in enumerate(zip(ends - sizes, ends, strict=True)):
-            own = h[a:z]
-            hi[i], lo[i] = mix(own).sum() + np.uint64(len(own)), mix(own ^ BASES[1]).sum()
+        # Sums over each text, wrapped at 64 bits: differences of running sums.
+        sums = [np.append(np.uint64(0), np.cumsum(mix(x))) for x in (h, h ^ BASES[1])]
+        hi, lo = (x[ends] - x[ends - sizes] for x in sums)
+        hi = hi + sizes.astype(np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("tk"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["dk", "tk", "hi", "lo", "n", "sig"])
 
 
