@@ -22,6 +22,8 @@ from ..functions.worddiff import DiffOptions
 from ..plans.tables import written
 
 SPAN = 4
+#: Blocks of the first side that meet a gap's other side in one group.
+CHUNK = 256
 MARGIN = 0.15
 ALIGNMENTS = "cmp_id string, position int, relation string, a_indices array<int>, b_indices array<int>, similarity double, move_distance int"
 
@@ -84,7 +86,10 @@ def scored(open_blocks: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Plausible pairs within gaps: cmp_id, gap, a_index, b_index, score. Lengths are tested before texts reach Python."""
     side = lambda s: open_blocks.filter(F.col("side") == s).select("cmp_id", "gap", F.col("block_index").alias(f"{s}_index"), F.col("text").alias(f"{s}_text"))
     a, b = F.col("a_text"), F.col("b_text")
-    met = side("a").join(side("b"), ["cmp_id", "gap"]).filter(S.plausible_length(a, b) & (S.length_bound(a, b) >= threshold - 1e-9))
+    # A large gap is dealt in chunks of its first side, each of which meets the other side whole, so that no task has it all.
+    ours = side("a").withColumn("chunk", F.floor(F.col("a_index") / CHUNK))
+    theirs = side("b").join(ours.select("cmp_id", "gap", "chunk").distinct(), ["cmp_id", "gap"])
+    met = ours.join(theirs, ["cmp_id", "gap", "chunk"]).filter(S.plausible_length(a, b) & (S.length_bound(a, b) >= threshold - 1e-9))
 
     def rated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pattern = S.Pattern("")
