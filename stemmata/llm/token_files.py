@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, batches, sizes, with_offsets, with_text_key, written
+from .common import batches, with_offsets, with_text_key, written
 from .tokens import encoder
 
 SHARD_IDS = 131_072
@@ -157,11 +157,13 @@ def write_tokens(documents: DataFrame, path: str, end_id: int, shard_ids: int =
     """Encodes, sorts by doc_id and writes the shards; returns the table of shards."""
     docs = with_text_key(documents)
 
-    chars, _ = sizes(docs)
+    # One pass over the texts for what the ranges need.
+    keys = written(docs.select("dk", "tk", F.length("text").alias("chars")), "token-keys")
+    chars = int(keys.agg(F.sum("chars")).first()[0] or 0)
     n = min(MAX_RANGES, max(1, chars // RANGE_CHARS))
     bounds: list[tuple[int, int]] = []
     if n > 1:
-        ranges = docs.select("dk", "tk").repartitionByRange(n, "dk", "tk").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("dk", "tk")).alias("low"))
+        ranges = keys.select("dk", "tk").repartitionByRange(n, "dk", "tk").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("dk", "tk")).alias("low"))
         bounds = sorted((r.low.dk, r.low.tk) for r in ranges.collect())[1:]
 
     def encoded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
