@@ -2,7 +2,7 @@
 
 Targets: sources in code-point order (null last) weigh WEIGHTS in turn and share `share` times all words; a target
 stops at `most` times its source's words and the excess is shared again by weight until none is above. With sources
-sorted by limit over weight this is one pass of prefix sums over the table of sources, which has a row a source.
+sorted by limit over weight this is one pass of prefix sums over the table of sources, which has a row a source and is one task's (some 50 bytes a source).
 
 Documents of a source stand in a fixed shuffled order (md5 of the id). Its words are taken in that order, from the
 beginning again where the target is larger than the source, and the last document is cut at the target, so that each
