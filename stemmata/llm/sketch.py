@@ -6,7 +6,8 @@ overestimates, and dropping the windows whose anchor is estimated single loses n
 2 / (w + 1) of all positions are anchors, so a sketch serves many times its cells.
 
 Size bound: two rows of at most MAX_CELLS cells, of which two bits each reach the driver and the executors
-(128 MB at most). A fuller sketch only lets more windows through to the exact pass.
+(128 MB at most). A fuller sketch only lets more windows through to the exact pass. The bound is a parameter of the
+operators (max_cells, a power of two): each doubling serves twice the text for twice the memory.
 """
 
 from __future__ import annotations
@@ -58,9 +59,9 @@ def runs(whole: np.ndarray, least: np.ndarray, longest: int) -> tuple[np.ndarray
     return starts, stops
 
 
-def cells_for(expected: int) -> int:
-    """Cells of a row: a power of two, four times the expected keys, within SLOT and MAX_CELLS."""
-    return int(min(MAX_CELLS, max(SLOT, 2 ** int(np.ceil(np.log2(max(1, expected) * 4))))))
+def cells_for(expected: int, most: int = MAX_CELLS) -> int:
+    """Cells of a row: a power of two, four times the expected keys, within SLOT and `most`."""
+    return int(min(most, max(SLOT, 2 ** int(np.ceil(np.log2(max(1, expected) * 4))))))
 
 
 class Sketch:
@@ -111,10 +112,10 @@ def _merged(rows: pd.DataFrame) -> np.ndarray:
     return counts
 
 
-def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, heavy: int) -> Sketch:
+def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, heavy: int, most: int = MAX_CELLS) -> Sketch:
     """Sketches each partition of docs, then merges the sketches by cell range, in two levels so that no task holds
     the cells of more than 64 partitions or of their sums. keys_of yields a partition's keys."""
-    cells = cells_for(expected)
+    cells = cells_for(expected, most)
 
     def partition(frames):
         from pyspark import TaskContext

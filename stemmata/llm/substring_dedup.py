@@ -173,11 +173,11 @@ def _result(window: int):
     return result
 
 
-def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
+def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, max_cells: int = sketch.MAX_CELLS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row."""
     docs = with_text_key(documents)
     chars, _ = sizes(docs)
-    counts = sketch.build(docs, _keys(window, gram), chars // 6 * 2 // (window - gram + 2), heavy)
+    counts = sketch.build(docs, _keys(window, gram), chars // 6 * 2 // (window - gram + 2), heavy, max_cells)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     buckets = max(8, chars // 4_000_000)
     runs = docs.mapInArrow(_candidates(shared, window, gram, buckets), RUNS)

@@ -375,11 +375,11 @@ def _splitters(docs: DataFrame, rows: int, ranges: int, length: int, gram: int)
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
-def remove_repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
+def remove_repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY, max_cells: int = sketch.MAX_CELLS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) for every row."""
     docs = with_text_key(documents)
     chars, rows = sizes(docs)
-    counts = sketch.build(docs, _keys(length, gram), 2 * chars // (length - gram), heavy)
+    counts = sketch.build(docs, _keys(length, gram), 2 * chars // (length - gram), heavy, max_cells)
     groups = max(4, chars // 8_000_000)
     ranges = min(MAX_RANGES, groups)
     splitters = _splitters(docs, rows, ranges, length, gram)
