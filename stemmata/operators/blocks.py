@@ -29,6 +29,11 @@ def text_candidates(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", parts.alias("cand", "text")).select("doc_id", "cand", F.lit("PARAGRAPH").alias("kind"), "text", F.lit(None).cast("string").alias("style"), F.lit(None).cast("int").alias("page"))
 
 
+def block_candidates(blocks: DataFrame) -> DataFrame:
+    """Blocks as candidates again: a stored document normalised anew keeps its kinds, styles and pages."""
+    return blocks.select("doc_id", F.col("block_index").alias("cand"), "kind", "text", "style", "page")
+
+
 def segment(candidates: DataFrame, reflow_lines: bool = False, compose: bool = True) -> DataFrame:
     """Normalised parts of each candidate, verse as one row a line: doc_id, cand, part, line, kind, text, style, page,
     starts_stanza, joined (hyphens closed up in the candidate)."""

@@ -55,6 +55,14 @@ def test_full_text_and_offsets(spark):
     assert whole == "One.\n\nTwo words.\n\nThree" and all(whole[r.char_start : r.char_end] == r.text for r in built.collect())
 
 
+def test_blocks_normalised_anew_are_the_same(spark):
+    rows = spark.createDataFrame([(1, "One.\n\nshort line one here\nshort line two here\nshort line three here\n\nﬁn")], "doc_id long, text string")
+    built = blocks.build_blocks(blocks.text_candidates(rows))
+    again = blocks.build_blocks(blocks.block_candidates(built))
+    facts = lambda frame: [(r.block_index, r.kind, r.text, r.char_start) for r in frame.orderBy("block_index").collect()]
+    assert facts(built) == facts(again) and [k for _, k, _, _ in facts(built)] == ["PARAGRAPH", "VERSE_LINE", "VERSE_LINE", "VERSE_LINE", "PARAGRAPH"]
+
+
 TOKENS = "array<struct<text:string,status:string>>"
 
 
