@@ -38,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     def kept(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = COLUMNS.index("lang")
-        for batch in language_id.batches(frames):
+        for batch in language_id.batches(frames, language_id.BATCH):
             lang, _, _, rejected = shared.value.identify(batch.column("text").to_pylist())
             yield batch.set_column(at, "lang", pa.array(lang, pa.string())).filter(pa.array(~rejected))
 
