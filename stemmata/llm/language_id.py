@@ -37,6 +37,8 @@ BREAK = chr(0x10FFFF)
 #: Rejection: share of calibration rows under the bound, and the factor beyond it.
 QUANTILE, MARGIN = 0.999, 1.5
 LONGEST = 400
+#: Bytes of text scored at once; the arrays for it take some 60 times as much.
+BATCH = 2_000_000
 SHARPNESS = 40
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -203,7 +205,7 @@ def train(documents: DataFrame, train_chars: int = TRAIN_CHARS) -> Identifier:
     some = rows.join(F.broadcast(shares), F.col("lang") == F.col("s_lang")).filter(chance < F.col("share")).select("text", "lang", F.when(F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 0, 1).otherwise(0).alias("fold"))
 
     def counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames):
+        for batch in batches(frames, BATCH):
             texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
             fold = batch.column("fold").to_numpy()
             for lang in set(langs[fold == 0].tolist()):
@@ -223,7 +225,7 @@ def train(documents: DataFrame, train_chars: int = TRAIN_CHARS) -> Identifier:
 
     def measured(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches(frames):
+        for batch in batches(frames, BATCH):
             langs = batch.column("lang").to_pylist()
             h, n = _entropies(own.models, batch.column("text").to_pylist())
             good = [i for i, (x, k) in enumerate(zip(langs, n, strict=True)) if k and x in own.languages]
@@ -241,7 +243,7 @@ def identify(documents: DataFrame, identifier: Identifier | None = None) -> Data
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (_fold(F.col("doc_id")) % 5 == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def predicted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames):
+        for batch in batches(frames, BATCH):
             lang, score, h, rejected = shared.value.identify(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(h), pa.array(rejected)], names=[f.split()[0] for f in RESULT.split(", ")])
 
