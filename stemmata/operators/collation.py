@@ -6,7 +6,6 @@ pairs and groups go through the word-difference function, one alignment a row. C
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +33,6 @@ def _members(a: list[str], b: list[str], relation: str, options: DiffOptions) ->
     return out
 
 
-def _tokens(text: Column, status: str) -> Column:
-    one = F.array(F.struct(text.alias("text"), F.lit(status).alias("status")))
-    return F.when(text == "", F.array().cast(TOKENS)).otherwise(one)
-
-
 def words_of(tokens: Column, status: str | None = None) -> Column:
     counted = tokens if status is None else F.filter(tokens, lambda t: t["status"] == status)
     return F.aggregate(F.transform(counted, lambda t: T.word_count(t["text"])), F.lit(0).cast("long"), lambda n, x: n + x)

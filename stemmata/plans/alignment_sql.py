@@ -52,11 +52,10 @@ met AS MATERIALIZED (SELECT x.cmp_id, x.gap, x.block_index AS i, y.block_index A
   WHERE greatest(x.w, y.w) / least(x.w, y.w) <= 3.0 AND {bound("x.text", "y.text")} >= {THRESHOLD} - 1e-9),{common("met", "g")},
 scored AS MATERIALIZED (SELECT cmp_id, gap, i, j, round_even({ratio()}, 4) AS score FROM met LEFT JOIN glcs USING (a, b) WHERE {ratio()} >= {THRESHOLD}),
 taken AS (SELECT cmp_id, unnest(list_reduce(list([[i, j]] ORDER BY score DESC, i, j), lambda acc, x: CASE WHEN len(list_filter(acc, lambda e: e[1] = x[1][1] OR e[2] = x[1][2])) > 0 THEN acc ELSE acc || x END, CAST([] AS INTEGER[][]))) AS ij FROM scored GROUP BY cmp_id, gap),
-paired AS MATERIALIZED (SELECT cmp_id, i, j, score FROM taken JOIN scored ON taken.cmp_id = scored.cmp_id AND i = ij[1] AND j = ij[2])"""
-CANDIDATES = CANDIDATES.replace("SELECT cmp_id, i, j, score FROM taken", "SELECT scored.cmp_id, i, j, score FROM taken")
+paired AS MATERIALIZED (SELECT scored.cmp_id, i, j, score FROM taken JOIN scored ON taken.cmp_id = scored.cmp_id AND i = ij[1] AND j = ij[2])"""
 
 
-def chosen(windows: str, ones: str, p: str) -> str:
+def chosen(windows: str, p: str) -> str:
     """CTE {p}out (cmp_id, one, s, e, score): for each block in turn its best window of blocks that are still free. windows:
     cmp_id, one, s, e, score, first, second (order among equal scores)."""
     free = "len(list_filter(acc, lambda q: q[2] <= w[3] AND w[2] <= q[3])) = 0"
@@ -74,7 +73,7 @@ def grown(pairs: str, side: str, free: str, p: str) -> str:
   FROM {pairs} q JOIN {free} USING (cmp_id) JOIN texts o ON o.cmp_id = q.cmp_id AND o.side = '{other}' JOIN texts m ON m.cmp_id = q.cmp_id AND m.side = '{side}', range(0, 4) t1(x), range(0, 4) t2(y)
   WHERE x + y BETWEEN 1 AND 3 AND q.score + {MARGIN} < 1.0 AND len(list_filter(range(partner - x, partner + y + 1), lambda k: k = partner OR list_contains(fs, k))) = x + y + 1),
 {p}n AS MATERIALIZED (SELECT * FROM {p}w WHERE {bound("a", "b")} + 1e-4 >= greatest({THRESHOLD}, alone + {MARGIN})),{common(f"{p}n", p)},
-{p}v AS MATERIALIZED (SELECT cmp_id, one, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, first, second, round_even({ratio()}, 4) AS score FROM {p}n LEFT JOIN {p}lcs USING (a, b) WHERE round_even({ratio()}, 4) >= {THRESHOLD} AND round_even({ratio()}, 4) > alone + {MARGIN}),{chosen(f"{p}v", "", p)}"""
+{p}v AS MATERIALIZED (SELECT cmp_id, one, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, first, second, round_even({ratio()}, 4) AS score FROM {p}n LEFT JOIN {p}lcs USING (a, b) WHERE round_even({ratio()}, 4) >= {THRESHOLD} AND round_even({ratio()}, 4) > alone + {MARGIN}),{chosen(f"{p}v", p)}"""
 
 
 def gathered(ones: str, side: str, free: str, p: str) -> str:
@@ -88,7 +87,7 @@ def gathered(ones: str, side: str, free: str, p: str) -> str:
 {p}h AS (SELECT cmp_id, one, k, coalesce(n, 0) AS n, round_even({ratio()}, 4) AS alone FROM {p}k LEFT JOIN {p}1lcs USING (a, b)),
 {p}u AS (SELECT x.cmp_id, x.one, x.s, x.e, x.a, x.b, max(alone) AS alone, sum(h.n) AS parts FROM {p}x x JOIN {p}h h ON h.cmp_id = x.cmp_id AND h.one = x.one AND k BETWEEN s AND e GROUP BY ALL),
 {p}n AS MATERIALIZED (SELECT * FROM {p}u WHERE least({bound("a", "b")}, 2 * (parts + e - s)::DOUBLE / (length(a) + length(b))) + 1e-4 >= greatest({THRESHOLD}, alone + {MARGIN})),{common(f"{p}n", f"{p}2")},
-{p}v AS MATERIALIZED (SELECT cmp_id, one, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, s AS first, e AS second, round_even({ratio()}, 4) AS score FROM {p}n LEFT JOIN {p}2lcs USING (a, b) WHERE round_even({ratio()}, 4) >= {THRESHOLD} AND round_even({ratio()}, 4) > alone + {MARGIN}),{chosen(f"{p}v", "", p)}"""
+{p}v AS MATERIALIZED (SELECT cmp_id, one, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, s AS first, e AS second, round_even({ratio()}, 4) AS score FROM {p}n LEFT JOIN {p}2lcs USING (a, b) WHERE round_even({ratio()}, 4) >= {THRESHOLD} AND round_even({ratio()}, 4) > alone + {MARGIN}),{chosen(f"{p}v", p)}"""
 
 
 def _without(source: str, gone: str, p: str) -> str:
