@@ -122,3 +122,24 @@ def test_gathered_equals_the_plain_search(ones, many):
             free -= set(best[1])
     texts = alignment.Texts(dict(enumerate(ones)), dict(enumerate(many)), {}, False)
     assert alignment.gathered(list(range(len(ones))), set(range(len(many))), texts, 0.5) == out
+
+
+@given(st.lists(st.text(alphabet="abcé😀 ", max_size=40), max_size=6), st.lists(st.text(alphabet="abcé😀 ", max_size=40), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_packed_tables_equal_single_ones(ones, many):
+    assert S.commons(ones, many).tolist() == [[S.common_length(x, y) for y in many] for x in ones]
+
+
+def test_unrelated_documents_are_cheap():
+    """Two documents of 200 blocks that share nothing, against all their single similarities one by one: 1.13 times these
+    before texts were compared in packs, 0.36 times since."""
+    a, b = [paragraph(i, 50) for i in range(200)], [paragraph(i, 50) for i in range(1000, 1200)]
+    began = time.process_time()
+    alignment.arrange([], [], dict(enumerate(a)), dict(enumerate(b)), OPTIONS)
+    took = time.process_time() - began
+    singles = time.process_time()
+    for x in a[:10]:
+        pattern = S.Pattern(x)
+        for y in b:
+            pattern.common(pattern.after(pattern.start, y))
+    assert took < 0.7 * 20 * (time.process_time() - singles)
