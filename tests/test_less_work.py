@@ -56,3 +56,22 @@ def test_one_look_is_quick(spark):
 
     assert frame.filter(T.is_tidy(F.col("text"))).count() == 400
     assert took(T.is_tidy(F.col("text"))) < 4 * took(~F.col("text").rlike("[^ -~]")) + 0.2
+
+
+def no_words(monkeypatch):
+    def refused(*_):
+        raise AssertionError("words are compared")
+
+    monkeypatch.setattr(catalogue.collation, "diff_blocks", refused)
+
+
+def test_structure_equals_the_blocks_with_tokens(spark, folder, monkeypatch):
+    whole = catalogue.diff_blocks(spark, folder).cache()
+    columns = catalogue.block_structure(spark, folder).columns
+    want = sorted(map(str, whole.select(columns).collect()))
+    summary = sorted(map(str, catalogue.views.structural_relationships(whole).select("cmp_id", "status", "key", "sentence", "shown").collect()))
+    no_words(monkeypatch)
+    assert sorted(map(str, catalogue.block_structure(spark, folder).collect())) == want
+    got = catalogue.structural_summary(spark, folder)
+    assert {"SPLIT", "MOVED"} <= {r.status for r in got.collect()}
+    assert sorted(map(str, got.select("cmp_id", "status", "key", "sentence", "shown").collect())) == summary
