@@ -75,3 +75,9 @@ def test_structure_equals_the_blocks_with_tokens(spark, folder, monkeypatch):
     got = catalogue.structural_summary(spark, folder)
     assert {"SPLIT", "MOVED"} <= {r.status for r in got.collect()}
     assert sorted(map(str, got.select("cmp_id", "status", "key", "sentence", "shown").collect())) == summary
+
+
+def test_changed_blocks_compare_no_words(spark, folder, monkeypatch):
+    want = sorted(map(str, catalogue.views.changed_blocks(catalogue.diff_blocks(spark, folder)).collect()))
+    no_words(monkeypatch)
+    assert sorted(map(str, catalogue.changed_blocks(spark, folder).collect())) == want != []
