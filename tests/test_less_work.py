@@ -81,3 +81,10 @@ def test_changed_blocks_compare_no_words(spark, folder, monkeypatch):
     want = sorted(map(str, catalogue.views.changed_blocks(catalogue.diff_blocks(spark, folder)).collect()))
     no_words(monkeypatch)
     assert sorted(map(str, catalogue.changed_blocks(spark, folder).collect())) == want != []
+
+
+def test_source_structure_compares_no_words(spark, folder, monkeypatch):
+    facts = lambda rows: sorted((r.cmp_id, r.side, r.block_index, r.structural) for r in rows.collect())
+    want = facts(catalogue.views.source_order(catalogue.diff_blocks(spark, folder)))
+    no_words(monkeypatch)
+    assert facts(catalogue.source_structure(spark, folder)) == want != []
