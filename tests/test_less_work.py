@@ -88,3 +88,13 @@ def test_source_structure_compares_no_words(spark, folder, monkeypatch):
     want = facts(catalogue.views.source_order(catalogue.diff_blocks(spark, folder)))
     no_words(monkeypatch)
     assert facts(catalogue.source_structure(spark, folder)) == want != []
+
+
+def test_source_order_aligns_sides_shown_whole(spark, folder, monkeypatch):
+    """The comparison of two sides of 14 blocks is not aligned; the others' excerpts are those of the tokens."""
+    whole = catalogue.views.source_order(catalogue.diff_blocks(spark, folder)).filter("cmp_id <> 'cmp_6_7'")
+    want = sorted((r.cmp_id, r.side, r.block_index, r.excerpt) for r in whole.collect())
+    no_words(monkeypatch)
+    seen = aligned(monkeypatch)
+    assert sorted(tuple(r) for r in catalogue.source_order(spark, folder).collect()) == want != []
+    assert "cmp_6_7" not in seen and len(seen) >= 3
