@@ -143,3 +143,22 @@ def test_unrelated_documents_are_cheap():
         for y in b:
             pattern.common(pattern.after(pattern.start, y))
     assert took < 0.7 * 20 * (time.process_time() - singles)
+
+
+def test_pairs_rule_out_longer_windows(monkeypatch):
+    """Of the longer windows that single similarities leave, most are ruled out by those of two blocks: fewer characters
+    are compared than when every window was scored."""
+    draw = random.Random(5)
+    prose = lambda n: " ".join(draw.choice("the of and a to in he was that it his her with as had for she not at but on be".split()) for _ in range(n))
+    ones, many = [prose(60) for _ in range(12)], [prose(draw.randrange(12, 24)) for _ in range(40)]
+    compared, every, commons, hopeful = [], [], S.commons, alignment._hopeful
+    monkeypatch.setattr(S, "commons", lambda x, y: (compared.append(sum(map(len, y)) if len(x) == 1 else 0), commons(x, y))[1])
+
+    def noted(*facts):
+        for found in hopeful(*facts):
+            every.append(sum(sum(map(len, many[x : y + 1])) + y - x for x, y in found))
+            yield found
+
+    monkeypatch.setattr(alignment, "_hopeful", noted)
+    out = alignment.gathered(list(range(12)), set(range(40)), alignment.Texts(dict(enumerate(ones)), dict(enumerate(many)), {}, False), 0.8)
+    assert out == [] and 0 < sum(compared) < 0.8 * sum(every), (sum(compared), sum(every))
