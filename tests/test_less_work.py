@@ -98,3 +98,11 @@ def test_source_order_aligns_sides_shown_whole(spark, folder, monkeypatch):
     seen = aligned(monkeypatch)
     assert sorted(tuple(r) for r in catalogue.source_order(spark, folder).collect()) == want != []
     assert "cmp_6_7" not in seen and len(seen) >= 3
+
+
+def test_metrics_write_no_difference_blocks(spark, folder, monkeypatch):
+    """They are read once, so nothing but what the sums need is computed."""
+    names, written = [], catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    got = {(r.cmp_id, r.a_word_count, r.b_word_count) for r in catalogue.word_balance(spark, folder).collect()}
+    assert ("cmp_1_2", 9, 9) in got and "sides" in names and "diff-blocks" not in names
