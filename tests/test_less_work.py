@@ -1,11 +1,14 @@
 """Queries do no work that their results don't need, and return the same."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from stemmata.functions import similarity
 from stemmata.functions import text as T
-from stemmata.plans import catalogue
+from stemmata.operators import alignment
+from stemmata.plans import catalogue, tables
 
 ONE, TWO = "The harbour lay quiet under a low sky.", "Nobody had come down to the boats since morning."
 COPY = ["Alpha opens the account.", "Beta follows with some detail."]
@@ -106,3 +109,36 @@ def test_metrics_write_no_difference_blocks(spark, folder, monkeypatch):
     monkeypatch.setattr(catalogue, "written", lambda df, name: (names.append(name), written(df, name))[1])
     got = {(r.cmp_id, r.a_word_count, r.b_word_count) for r in catalogue.word_balance(spark, folder).collect()}
     assert ("cmp_1_2", 9, 9) in got and "sides" in names and "diff-blocks" not in names
+
+
+def test_blocks_share_their_windows_packs(monkeypatch):
+    """Unmatched blocks that meet the same windows meet them in one pack; each had packs of its own before."""
+    draw = random.Random(5)
+    prose = lambda n: " ".join(draw.choice("the of and a to in he was that it his her with as had for she not at but on be".split()) for _ in range(n))
+    ones, many = [prose(60) for _ in range(12)], [prose(draw.randrange(12, 24)) for _ in range(40)]
+    made, pack = [], similarity.Pack
+    monkeypatch.setattr(similarity, "Pack", lambda texts: made.append(len(texts)) or pack(texts))
+    texts = alignment.Texts(dict(enumerate(ones)), dict(enumerate(many)), {}, False)
+    assert alignment.gathered(list(range(12)), set(range(40)), texts, 0.8) == [] and 0 < len(made) < 12
+
+
+def test_tei_reads_difference_blocks_once(spark, folder, monkeypatch):
+    """Elements, links and metrics come from one look at the blocks, which are not written first."""
+    stored, write = [], tables.written
+    for module in (catalogue, catalogue.collation, catalogue.alignment):
+        monkeypatch.setattr(module, "written", lambda df, name: stored.append(name) or write(df, name))
+    got = {r.cmp_id: r.tei for r in catalogue.tei_export(spark, folder).collect()}
+    assert "alignments" in stored and "diff-blocks" not in stored
+    pairs, _, blocks = catalogue._collated(spark, folder)
+    titles = pairs.select("cmp_id", *(F.format_string("Document %d", f"{s}_doc_id").alias(f"{s}_title") for s in "ab"), *(F.lit("TXT").alias(f"{s}_format") for s in "ab"))
+    assert got == {r.cmp_id: r.tei for r in catalogue.tei.export(blocks, catalogue.collation.document_metrics(blocks), titles).collect()}
+    assert 'target="#blk-dbk_' in got["cmp_1_2"] and '<linkGrp type="moved">' in got["cmp_1_2"] and '<linkGrp type="split">' in got["cmp_4_5"]
+
+
+def test_links_by_first_block(spark):
+    """A link a key, by its first block, also where a group's members don't stand together; no group without links."""
+    rows = spark.createDataFrame([(1, [(0, "dbk_0009", 9), (2, "grp_0001", 2), (2, "grp_0002", 1), (2, "grp_0001", 5)]), (2, [])], "n int, links array<struct<rank:int,key:string,seq:int>>")
+    got = [r.back for r in rows.orderBy("n").select(catalogue.tei.link_groups(F.array_sort("links")).alias("back")).collect()]
+    link = lambda *seqs: '\n        <link target="' + " ".join(f"#blk-dbk_{s:04d}" for s in seqs) + '" />'
+    group = lambda name, *links: f'\n      <linkGrp type="{name}">' + "".join(links) + "\n      </linkGrp>"
+    assert got == ["\n    <back>" + group("moved", link(9)) + group("merged", link(1), link(2, 5)) + "\n    </back>", None]
