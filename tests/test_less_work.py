@@ -142,3 +142,15 @@ def test_links_by_first_block(spark):
     link = lambda *seqs: '\n        <link target="' + " ".join(f"#blk-dbk_{s:04d}" for s in seqs) + '" />'
     group = lambda name, *links: f'\n      <linkGrp type="{name}">' + "".join(links) + "\n      </linkGrp>"
     assert got == ["\n    <back>" + group("moved", link(9)) + group("merged", link(1), link(2, 5)) + "\n    </back>", None]
+
+
+def test_portions_and_groups_change_no_choice(monkeypatch):
+    """However few windows are held or met at once, the same ones are chosen."""
+    draw = random.Random(11)
+    many = ["".join(draw.choice("abcdef ") for _ in range(draw.randrange(5, 30))) for _ in range(40)]
+    ones = [" ".join(many[k : k + n]) for k, n in ((0, 2), (1, 3), (5, 4), (7, 2), (20, 3), (22, 2), (30, 4))] + many[10:14]
+    chosen = lambda: alignment.gathered(list(range(len(ones))), set(range(40)), alignment.Texts(dict(enumerate(ones)), dict(enumerate(many)), {}, False), 0.5)
+    before = chosen()
+    monkeypatch.setattr(alignment, "HELD", 3)
+    monkeypatch.setattr(alignment, "MET", 40)
+    assert chosen() == before and [g[:2] for g in before][:1] == [(0, (0, 1))] and len(before) >= 4
